@@ -89,7 +89,7 @@ FROM v JOIN m ON node = vec_id""",
 WITH RECURSIVE t AS (SELECT text, min(doc_id) AS uid FROM documents GROUP BY text),
 w AS (SELECT uid, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM t),
 g AS (SELECT uid, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-  ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
 b AS (SELECT uid, s, count(*) AS n FROM g GROUP BY uid, s),
 z AS (SELECT uid, sum(n) AS total FROM b GROUP BY uid),
 p AS (SELECT x.uid AS u, y.uid AS v, sum(least(x.n, y.n)) AS shared FROM b x JOIN b y ON x.s = y.s AND x.uid < y.uid GROUP BY 1, 2),

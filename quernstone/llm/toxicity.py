@@ -3,8 +3,8 @@
 The kernel of two words sums, over character triples that stand in both in order (gaps allowed, up to SPAN characters
 in all, with word ends as characters), DECAY to the power of both spans; so `stuxpid` still shares most triples with
 `stupid`. The Nyström map of a word is its kernel to the landmarks times the inverse root of their kernel matrix. A
-sentence is as toxic as its worst word and a text as its worst sentence: the machine is trained on labelled sentences
-with that word latent (its choice and the machine are fitted in turn), with a squared hinge loss.
+sentence is as toxic as its worst word and a text as its worst sentence: the machine is trained on the words of
+labelled sentences, with a squared hinge loss.
 
 A linear function of the Nyström map is a weight for every triple of the landmarks, so scoring looks triples up in a
 table. The score is the margin's logistic calibration on labelled texts that the machine wasn't fitted to."""
@@ -12,6 +12,7 @@ table. The score is the margin's logistic calibration on labelled texts that the
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -136,7 +137,7 @@ def _kernel(words: list[str], landmarks: np.ndarray, place: np.ndarray) -> np.nd
     return np.concatenate(out) if out else np.zeros((0, len(landmarks)))
 
 
-def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     """Newton steps on the primal; the last coefficient is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -153,8 +154,13 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
     return w
 
 
-def fit(texts: list[str], toxic: list[int], landmarks: int = 256, rounds: int = 4, calibrate: int = 3) -> Machine | None:
-    """Fit on labelled texts; every calibrate-th of them only calibrates. None without texts of both labels."""
+def fit(texts: list[str], toxic: list[int], landmarks: int = 512, rounds: int = 2, calibrate: int = 4) -> Machine | None:
+    """Fit on labelled texts; every calibrate-th of them only calibrates. None without texts of both labels.
+
+    Which words of a toxic text make it so is latent; the positive ones are those that stand in toxic texts far more
+    often than chance has it, and the kernel carries them over to words like them. Clean words that come nearest to the
+    border join the negative ones and the landmarks, so that they can be told apart."""
+
     def words_of(text: str) -> set[str]:
         return {w for s in SENTENCE.split(text) for c in chunks(s) for w in forms(c)}
 
@@ -163,32 +169,39 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 256, rounds: int =
     bad, good = [k for k in own if toxic[k] and bags[k]], [k for k in own if not toxic[k] and bags[k]]
     if not bad or not good:
         return None
-    in_bad, in_good = Counter(w for k in bad for w in bags[k]), Counter(w for k in good for w in bags[k])
-    odds = {w: np.log((n + 0.1) / len(bad) / ((in_good[w] + 0.1) / len(good))) * min(1.0, n / 3) for w, n in in_bad.items()}
-    ranking = lambda counts, key: sorted(counts, key=lambda w: (-key(w), w))
+    family = _families({k: texts[k] for k in bags})
+    count = lambda some: Counter(w for w, _ in {(w, family[k]) for k in some for w in bags[k]})
+    in_bad, in_good = count(bad), count(good)
+    bad, good = ({family[k] for k in some} for some in (bad, good))
+    share = len(bad) / (len(bad) + len(good))
+    # evidence: the log likelihood ratio of the word's own share of toxic texts against that of all texts
+    odds = {w: _ratio(n, n + in_good[w], share) for w, n in in_bad.items()}
+    telling = {w for w, x in odds.items() if x > 10 and in_good[w] * share < 0.1 * in_bad[w] * (1 - share)} or set(sorted(odds, key=lambda w: (-odds[w], w))[:8])
+    ranking = lambda words, key: sorted(words, key=lambda w: (-key(w), w))
     rng = np.random.default_rng(7)
     clean = ranking(in_good, in_good.__getitem__)
-    rare = [clean[k] for k in sorted(rng.permutation(len(clean))[:5000])]
-    marks = list(dict.fromkeys([*ranking(in_bad, odds.__getitem__)[: landmarks // 2], *clean[: landmarks // 4], *rare[:: max(1, len(rare) * 4 // landmarks)]]))[:landmarks]
-    number, hashes, weights = triples(marks)
-    seen = np.unique(hashes)
-    place = np.full(TABLE, -1)
-    place[seen] = np.arange(len(seen))
-    z = np.bincount(number * len(seen) + place[hashes], weights, len(marks) * len(seen)).reshape(len(marks), -1)
-    values, vectors = np.linalg.eigh(z @ z.T)
-    root = vectors @ np.diag(np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0)) @ vectors.T
-    negative = list(dict.fromkeys([*clean[:2000], *rare]))
-    machine, choice = None, {k: max(sorted(bags[k]), key=odds.__getitem__) for k in bad}
-    for turn in range(rounds):
+    rare = [clean[k] for k in sorted(rng.permutation(len(clean))[:3000])]
+    marks = list(dict.fromkeys([*ranking(telling, odds.__getitem__)[: landmarks // 2], *clean[: landmarks // 8], *rare[: landmarks // 8]]))
+    negative = [w for w in dict.fromkeys([*clean[:1500], *rare]) if w not in telling]
+    positive = {w: in_bad[w] for w in sorted(telling)}
+    machine = None
+    for _ in range(rounds):
         if machine is not None:
-            flat = sorted(set(in_bad) | set(in_good))
-            margin = dict(zip(flat, machine.words(flat).tolist(), strict=True))
-            choice = {k: max(sorted(bags[k]), key=margin.__getitem__) for k in bad}
-            negative = list(dict.fromkeys([*negative, *sorted(in_good, key=lambda w: (-margin[w], w))[:1000]]))
-        positive = Counter(choice.values())
+            some = sorted(set(in_good) - telling)
+            margin = dict(zip(some, machine.words(some).tolist(), strict=True))
+            near = ranking(some, margin.__getitem__)[:500]
+            negative = list(dict.fromkeys([*negative, *near]))
+            marks = list(dict.fromkeys([*marks, *near[: landmarks // 8]]))
+        number, hashes, weights = triples(marks)
+        seen = np.unique(hashes)
+        place = np.full(TABLE, -1)
+        place[seen] = np.arange(len(seen))
+        z = np.bincount(number * len(seen) + place[hashes], weights, len(marks) * len(seen)).reshape(len(marks), -1)
+        values, vectors = np.linalg.eigh(z @ z.T)
+        root = vectors @ np.diag(np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0)) @ vectors.T
         x = _kernel([*positive, *negative], z, place) @ root
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        weight = np.array([float(n) for n in positive.values()] + [float(min(in_good[w], 50)) for w in negative])
+        weight = np.array([float(min(n, 20)) for n in positive.values()] + [float(min(in_good[w], 20)) for w in negative])
         # the two labels weigh the same
         weight[: len(positive)] /= weight[: len(positive)].sum()
         weight[len(positive) :] /= weight[len(positive) :].sum()
@@ -202,6 +215,37 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 256, rounds: int =
     return machine
 
 
+def _ratio(part: int, total: int, share: float) -> float:
+    own = part / total
+    if own <= share:
+        return 0.0
+    return total * (own * np.log(own / share) + ((1 - own) * np.log((1 - own) / (1 - share)) if own < 1 else 0.0))
+
+
+def _families(texts: dict[int, str], hashes: int = 12, rows: int = 2) -> dict[int, int]:
+    """The copies' group of each text, from min-hashes of its runs of four words: copies count once, so that their
+    words aren't taken for evidence."""
+    up = {k: k for k in texts}
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    first: dict[tuple, int] = {}
+    times = np.arange(1, 2 * hashes, 2, dtype="u8")[None] * _K1
+    for k, text in texts.items():
+        w = text.split()
+        runs = {" ".join(w[j : j + 4]) for j in range(max(1, len(w) - 3))}
+        h = np.fromiter((zlib.crc32(r.encode()) for r in runs), "u8", len(runs))[:, None] * times
+        low = ((h ^ (h >> np.uint64(31))) * _K2).min(axis=0).tolist()
+        for b in range(0, hashes, rows):
+            other = first.setdefault((b, *low[b : b + rows]), k)
+            a, c = root(k), root(other)
+            up[max(a, c)] = min(a, c)
+    return {k: root(k) for k in texts}
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift by Newton steps, with the smoothed targets that keep separable labels finite."""
     n1, n0 = y.sum(), len(y) - y.sum()
@@ -224,7 +268,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = 1200) -> Machine | None:
+def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = 1600) -> Machine | None:
     """Fit on at most per_label rows of each label that aren't held out, chosen by a hash of their ids."""
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
