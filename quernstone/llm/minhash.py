@@ -152,11 +152,9 @@ def _signed(docs: DataFrame, size: int, step: int = 64) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose texts are similar enough; texts: (uid, text), a row for each class."""
-    some = pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
-    some = stored(texts.join(some, "uid", "left_semi"), "texts")
-    with_v = pairs.join(some.select(F.col("uid").alias("v"), F.col("text").alias("b")), "v")
-    both = with_v.join(some.select(F.col("uid").alias("u"), F.col("text").alias("a")), "u").select("u", "v", "a", "b")
+    """The pairs (u, v) whose texts are similar enough; texts: (uid, text)."""
+    with_v = pairs.join(texts.select(F.col("uid").alias("v"), F.col("text").alias("b")), "v")
+    both = with_v.join(texts.select(F.col("uid").alias("u"), F.col("text").alias("a")), "u").select("u", "v", "a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last, bag = Words(), None, None
@@ -173,7 +171,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
     return both.mapInArrow(verify, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
+def _across(members: DataFrame, texts: DataFrame, size: int, threshold: float, block: int) -> DataFrame:
+    """Links (u, v) between different groups of members (v, group, family); of those that join the same groups, some.
+
+    A family's texts outside its largest group are held against all of its texts, through lists of the texts that hold
+    a shingle; large families are dealt out in tiles of one block of the former and one of the latter."""
+    groups = members.groupBy("family", "group").agg(F.count("*").alias("n"))
+    largest = groups.groupBy("family").agg(F.max(F.struct("n", F.col("group").alias("main"))).alias("x"), F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    placed = members.join(largest.select("family", "x.main", "blocks"), "family").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    placed = placed.join(texts.select(F.col("uid").alias("v"), "text"), "v")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    base = placed.withColumn("asks", F.lit(False)).withColumn("ask_block", F.explode(every)).withColumn("block", F.col("own"))
+    asking = placed.where("group <> main").withColumn("asks", F.lit(True)).withColumn("ask_block", F.col("own")).withColumn("block", F.explode(every))
+    columns = ["family", "ask_block", "block", "asks", "v", "group", "text"]
+
+    def link(table: pa.Table) -> pa.Table:
+        words, rows = Words(), table.select(["asks", "v", "group", "text"]).to_pylist()
+        held = [(r["v"], r["group"], shingles(words.hashes(r["text"]), size)) for r in rows if not r["asks"]]
+        us, vs, joined = [], [], {}
+        if held:
+            hashes = np.concatenate([h for _, _, (h, _) in held])
+            counts = np.concatenate([c for _, _, (_, c) in held])
+            owner = np.repeat(np.arange(len(held)), [len(h) for _, _, (h, _) in held])
+            order = np.argsort(hashes, kind="stable")
+            hashes, counts, owner = hashes[order], counts[order], owner[order]
+            totals = np.array([int(c.sum()) for _, _, (_, c) in held])
+            ids, group = np.array([v for v, _, _ in held]), np.array([g for _, g, _ in held])
+            for r in rows:
+                if not r["asks"]:
+                    continue
+                h, c = shingles(words.hashes(r["text"]), size)
+                low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+                n = high - low
+                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], np.minimum(counts[at], np.repeat(c, n)), len(held))
+                near = (shared >= threshold * (totals + int(c.sum()) - shared) - 1e-9) & (shared > 0) & (group != r["group"])
+                for k in np.flatnonzero(near).tolist():
+                    key = (r["group"], int(group[k]))
+                    if key not in joined:
+                        joined[key] = True
+                        us.append(min(r["v"], int(ids[k])))
+                        vs.append(max(r["v"], int(ids[k])))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return base.select(columns).unionByName(asking.select(columns)).groupBy("family", "ask_block", "block").applyInArrow(link, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, block: int = 2048) -> DataFrame:
     """Per row: doc_id, text_class (smallest id of an equal text), class_id (smallest id of the texts that links of
     weighted Jaccard >= threshold connect), kept (whether doc_id is class_id).
 
@@ -191,18 +235,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = entries.groupBy("band").agg(F.min("uid").alias("u"), F.count("*").alias("n")).where("n > 1").select("band", "u")
     buckets = stored(entries.join(leaders, "band").select("band", "u", F.col("uid").alias("v")), "buckets")
     pairs = stored(buckets.where("u < v").select("u", "v").distinct(), "pairs")
-    texts = rows.select("uid", "key", "text").join(classes.select("uid", "key"), ["uid", "key"], "left_semi").dropDuplicates(["uid"]).select("uid", "text")
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct().join(classes.select("uid", F.col("key").alias("of")), "uid")
+    texts = stored(rows.join(needed, "uid").where(F.col("key") == F.col("of")).dropDuplicates(["uid"]).select("uid", "text"), "texts")
     links = stored(_verified(pairs, texts, size, threshold), "links")
     known = components(links)
     # what a bucket's smallest text doesn't join may still be linked: compare texts of different groups with each other
-    grouped = buckets.join(known.withColumnRenamed("node", "v"), "v", "left").select("band", "v", F.coalesce("component", "v").alias("group"))
+    grouped = buckets.join(known.withColumnRenamed("node", "v"), "v", "left").select("band", "u", "v", F.coalesce("component", "v").alias("group"))
     mixed = grouped.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("band")
     mixed = stored(grouped.join(mixed, "band"), "mixed")
-    other = mixed.select("band", F.col("v").alias("w"), F.col("group").alias("other"))
-    more = mixed.join(other, "band").where("group < other").select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v")).distinct()
-    more = stored(more.join(pairs, ["u", "v"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        known = components(links.unionByName(_verified(more, texts, size, threshold)))
+    if not mixed.isEmpty():
+        families = components(mixed.select("u", "v"))
+        members = mixed.select("v", "group").distinct().join(families.select(F.col("node").alias("v"), F.col("component").alias("family")), "v")
+        known = components(links.unionByName(_across(members, texts, size, threshold, block)))
     of = classes.join(known.withColumnRenamed("node", "uid"), "uid", "left").select("key", F.col("uid").alias("text_class"), F.coalesce("component", "uid").alias("class_id"))
     out = signed.select("uid", "key").join(of, "key")
     null = lambda c: F.when(F.col(c) > lowest, F.col(c)).alias(c)
