@@ -44,8 +44,11 @@ def specials(path: str) -> dict[str, int]:
 class CachedWords:
     """Whole-text encoder: words that were seen come from a bounded table, new ones go to the library in one call."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 700_000):
         self.tokenizer, self.most = load(path), most
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
         self.special = re.compile("|".join(map(re.escape, specials(path))) or r"(?!)")
         self.known: dict[str, bytes] = {}
 
@@ -54,18 +57,31 @@ class CachedWords:
             return None
         return WORD_PIECES.findall(text.lower())
 
+    def _learn(self, new: list[str], together: int = 200) -> None:
+        """Words are encoded many to a call, apart by spaces; an id that ends a word tells them apart again."""
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            lines = [" ".join(some[k : k + together]) for k in range(0, len(some), together)]
+            found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+            ids = np.concatenate(found)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) == len(some):
+                raw, bounds = ids.tobytes(), [0, *cuts.tolist()]
+                self.known.update(zip(some, (raw[a:b] for a, b in zip(bounds, bounds[1:])), strict=False))
+            else:
+                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    self.known[w] = np.array(e.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
         split = [self._words(x) for x in texts]
         known = self.known
-        new = list({w for words in split if words for w in words if w not in known})
+        seen = set().union(*(words for words in split if words))
+        new = [w for w in seen if w not in known]
         if len(known) + len(new) > self.most:
             known.clear()
-            new = list({w for words in split if words for w in words})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            new = list(seen)
+        self._learn(new)
         out = []
         for text, words in zip(texts, split, strict=True):
             if words is None:
