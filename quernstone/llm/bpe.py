@@ -19,10 +19,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import commit_file, new_folder, open_fs, whole_text
+from .common import commit_file, new_folder, open_fs, stored, whole_text
 from .tokens import BYTE_PIECES, NOT_PLAIN, load, specials
 
 
@@ -261,10 +261,11 @@ class Bpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [list(self.splitter.split(x)) for x in texts]
-        new = list({p for parts in split for _, pieces in parts for p in pieces if p not in self.known})
+        seen = set().union(*(pieces for parts in split for _, pieces in parts))
+        new = [p for p in seen if p not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = list({p for parts in split for _, pieces in parts for p in pieces})
+            new = list(seen)
         self._learn(new)
         out = []
         for parts in split:
@@ -304,12 +305,16 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, words: int = 1 << 17, text_col: str = "text") -> str:
-    """Compile the most frequent words of the documents (at most `words`; ties by the word itself) into a transducer in
-    the shared folder; its URI. The words are counted over all documents; only the lexicon comes to the driver, and
-    what it leaves out is merged exactly, so its size sets speed and not results."""
-    top = word_counts(docs, tokenizer, text_col).orderBy(F.desc("n"), "word").limit(words).select("word")
+    """Compile the most frequent words of the documents (at most `words`; of equally frequent ones all or none) into a
+    transducer in the shared folder; its URI. The words are counted over all documents; only the lexicon comes to the
+    driver, once the least count that keeps it within `words` is known, and what it leaves out is merged exactly, so
+    its size sets speed and not results."""
+    counts = stored(word_counts(docs, tokenizer, text_col).where("n > 1"), "words")
+    up_to = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    levels = counts.groupBy("n").agg(F.count("*").alias("c")).select("n", F.sum("c").over(up_to).alias("c"))  # a row a count
+    least = levels.where(F.col("c") <= words).agg(F.min("n")).first()[0]
     merges = Merges(tokenizer)
-    some = sorted(r[0].encode() for r in top.collect())
+    some = sorted(r[0].encode() for r in counts.where(F.col("n") >= least).select("word").collect()) if least else []
     folder = new_folder(docs.sparkSession, "lexicon")
     with tempfile.TemporaryDirectory() as own:
         compile_words(((w, merges.encode(w)) for w in some if w), f"{own}/words")
