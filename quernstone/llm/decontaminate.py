@@ -46,9 +46,9 @@ def cgk(windows: np.ndarray, seed: int) -> np.ndarray:
 
 
 def samples(walked: np.ndarray, seed: int) -> np.ndarray:
-    """SAMPLES keys of each walk, each of BITS places."""
+    """SAMPLES keys of each walk, each of BITS places, before the end that all walks leave empty."""
     rng = np.random.default_rng(seed)
-    places = rng.integers(0, walked.shape[1], (SAMPLES, BITS))
+    places = rng.integers(0, max(1, walked.shape[1] * 8 // 15), (SAMPLES, BITS))
     keys = np.zeros((len(walked), SAMPLES), "u8")
     for k in range(BITS):
         keys = mix(keys ^ walked[:, places[:, k]]) + _G

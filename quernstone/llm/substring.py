@@ -1,6 +1,6 @@
 """Substring dedup over sliding sentence spans.
 
-From each sentence runs the shortest span of at least `min_sentences` sentences and `min_words` words, and to each
+From each sentence runs the shortest span of `min_words` words (several sentences, unless one has as many words), and to each
 sentence another, so every sentence of a repeated passage lies in a span that lies in the passage. Spans are hashed and
 joined over all documents; of the places where a span stands, the first (smallest doc_id, then position) keeps it, and
 sentences that any other place covers are removed.
@@ -82,7 +82,7 @@ def _rows(parts: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(np.concatenate(x))) for x in zip(*parts, strict=True)], ["uid", "t", "h1", "h2", "place"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 1, min_words: int = 20) -> DataFrame:
     """All columns of docs, text_col without repeated spans, and n_sentences and n_removed of each text.
 
     Texts without a repeated span come back as they are. A null text counts as an empty one (and stays null). Rows with
