@@ -92,9 +92,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     keyed = docs.select(*(F.col(f"`{c}`") for c in names)).withColumns({"__uid": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "__t": F.xxhash64(whole_text(text_col))})
     found = find_spans(keyed.select(F.col("__uid").alias("uid"), F.col("__t").alias("t"), whole_text(text_col).alias("text")), min_sentences, min_words)
-    often = found.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    # stored, so that both sides of a join are dealt out for it alone and Spark can split the rows of a common span
+    often = stored(found.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "often")
     hits = stored(found.join(often, "h1"), "spans")
-    first = hits.groupBy("h1", "h2").agg(F.min(F.struct("uid", "t", "place")).alias("first"))
+    first = stored(hits.groupBy("h1", "h2").agg(F.min(F.struct("uid", "t", "place")).alias("first")), "first")
     later = hits.join(first, ["h1", "h2"]).where(F.struct("uid", "t", "place") != F.col("first"))
     later = later.groupBy("uid", "t").agg(F.collect_set("place").alias("places"))  # at most two a sentence of one text
     later = later.select(F.col("uid").alias("__uid"), F.col("t").alias("__t"), F.col("places").alias("__places"))
