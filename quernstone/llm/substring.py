@@ -10,6 +10,7 @@ Only spans whose 64-bit hash occurs twice go beyond the count; a second hash mak
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +23,43 @@ from .common import stored, whole_text
 
 #: Every character lies in one sentence: words up to a stop or a line's end, with the space that follows.
 SENTENCE = re.compile(r"[^.!?。！？\n]*[.!?。！？\n]+\s*|[^.!?。！？\n]+")
+#: Passages are often set into running text: a capitalised word after a small one begins a sentence too.
+INNER = re.compile(r"(?:^|(?<=\s))[a-zß-öø-ÿа-яα-ω]\S*\s+(?=[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω])")
+#: Sentences of more words are cut after the words that a hash picks, wherever they stand, one in CUT.
+LONG, CUT = 30, 8
+WORD = re.compile(r"\S+\s*")
 SPANS = "uid long, t long, h1 long, h2 long, place long"
 
 
 def sentences(text: str) -> list[str]:
-    """Pieces that make the text when put together again."""
-    return SENTENCE.findall(text)
+    """Pieces that make the text when put together again. Where they end depends on the words there alone, so that copies
+    of a passage fall into the same pieces whatever stands around them."""
+    out = []
+    for piece in SENTENCE.findall(text):
+        last = 0
+        for m in INNER.finditer(piece):
+            out += _short(piece[last : m.end()])
+            last = m.end()
+        out += _short(piece[last:] if last else piece)
+    return out
+
+
+def _short(piece: str) -> list[str]:
+    if piece.count(" ") < LONG:
+        return [piece]
+    words = WORD.findall(piece)
+    if len(words) <= LONG:
+        return [piece]
+    out, last = [], len(piece) - sum(map(len, words))  # white space before the first word goes with it
+    start, before = 0, ""
+    for w in words:
+        last += len(w)
+        bare = w.rstrip().lower()
+        if bare != before and zlib.crc32(bare.encode("utf-8", "surrogatepass")) % CUT == 0:
+            out.append(piece[start:last])
+            start = last
+        before = bare
+    return out + [piece[start:]] if start < len(piece) else out
 
 
 def spans(pieces: list[str], min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
