@@ -102,7 +102,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                     name, temporary = f"{folder}/{base}", f"{folder}/_temporary-{attempt}-{base}"
                     filesystem, path = open_fs(temporary)
                     filesystem.create_dir(os.path.dirname(path), recursive=True)
-                    out = filesystem.open_output_stream(path)
+                    out = filesystem.open_output_stream(path, compression=None)  # else the name would make Arrow compress once more
                     data = _member(_info(base, date))
                     out.write(data)
                     size = len(data)
@@ -156,7 +156,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
             for file, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 filesystem, path = open_fs(file)
                 rows, seen = [], 0
-                with filesystem.open_input_stream(path, buffer_size=1 << 20) as raw, gzip.GzipFile(fileobj=raw) as stream:
+                with filesystem.open_input_stream(path, compression=None, buffer_size=1 << 20) as raw, gzip.GzipFile(fileobj=raw) as stream:
                     for headers, block in parse(stream):
                         kind = headers["warc-type"]
                         if kind == "warcinfo":
