@@ -8,7 +8,7 @@ import os
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Terms without weight in any document, in alphabetical order.
+#: Terms without weight in any document.
 STOPWORDS = tuple(
     "a about above also an and api are as at be been below bool by can contents could description did do "
     "does example field float following for from had has have how in int into is it its label may must "
