@@ -2,103 +2,133 @@
 
 From each sentence runs the shortest span of `min_words` words (several sentences, unless one has as many words), and to each
 sentence another, so every sentence of a repeated passage lies in a span that lies in the passage. Spans are hashed and
-joined over all documents; of the places where a span stands, the first (smallest doc_id, then position) keeps it, and
+met over all documents; of the places where a span stands, the first (smallest doc_id, then position) keeps it, and
 sentences that any other place covers are removed.
 
-Only spans whose 64-bit hash occurs twice go beyond the count; a second hash makes 128 bits for the decision."""
+Sentences are cut at words that a hash picks, too. Whether a word ends a piece depends on itself, the AROUND words on either
+side and, where one of these may end a sentence, the word next to it: so copies of a passage are cut alike but for the few
+words at its ends, whatever stands around them. What stays of a repeat are the words before its first and after its last cut."""
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import whole_text
 
-#: Every character lies in one sentence: words up to a stop or a line's end, with the space that follows.
-SENTENCE = re.compile(r"[^.!?。！？\n]*[.!?。！？\n]+\s*|[^.!?。！？\n]+")
+#: A word with the space that follows; it goes up to a stop, which ends a sentence, as does a line's end.
+TOKEN = re.compile(r"[^\s.!?。！？]*[.!?。！？]+\s*|[^\s.!?。！？]+\s*")
+STOPS = frozenset(".!?。！？")
 #: Passages are often set into running text: a capitalised word after a small one begins a sentence too.
-INNER = re.compile(r"(?:^|(?<=\s))[a-zß-öø-ÿа-яα-ω]\S*\s+(?=[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω])")
-#: Sentences of more words are cut after the words that a hash picks, wherever they stand, one in CUT.
-LONG, CUT = 30, 8
-WORD = re.compile(r"\S+\s*")
-SPANS = "uid long, t long, h1 long, h2 long, place long"
+SMALL, CAPITAL = re.compile("[a-zß-öø-ÿа-яα-ω]"), re.compile("[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]")
+#: A word also ends a piece where its hash is the least of those of as many words before and after it.
+AROUND = 2
+_END, _SMALL, _CAPITAL = 1, 2, 4
+_RECORD = np.dtype([("hash", "u8", 2), ("chars", "u4"), ("marks", "u4")])
+_PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], "u8")
+_INVERSE = np.array([pow(int(p), -1, 1 << 64) for p in _PRIMES], "u8")
+SPANS = "uid long, t long, h1 long, h2 long, place long, late boolean"
+
+
+class Tokens:
+    """Records (hash, characters, marks) of words, kept in a bounded table."""
+
+    def __init__(self, most: int = 300_000):
+        self.known, self.most = {}, most
+
+    def records(self, text: str) -> np.ndarray:
+        """Of every word of the text; white space before the first one is left out."""
+        tokens = TOKEN.findall(text)
+        if len(self.known) > self.most:
+            self.known.clear()
+        known = self.known
+        for t in set(tokens):
+            if t not in known:
+                bare = t.rstrip()
+                marks = _END * (bare[-1] in STOPS or "\n" in t) | _SMALL * bool(SMALL.match(t)) | _CAPITAL * bool(CAPITAL.match(t))
+                tail = len(t).to_bytes(4, "little") + marks.to_bytes(4, "little")
+                known[t] = xxhash.xxh3_128_digest(bare.lower().encode("utf-8", "surrogatepass")) + tail
+        return np.frombuffer(b"".join(map(known.__getitem__, tokens)), _RECORD)
+
+
+def cuts(records: np.ndarray) -> np.ndarray:
+    """The number of words up to the end of each piece."""
+    n = len(records)
+    if not n:
+        return np.zeros(0, "i8")
+    marks = records["marks"]
+    ends = marks & _END > 0
+    ends[:-1] |= (marks[:-1] & _SMALL > 0) & (marks[1:] & _CAPITAL > 0)
+    ends[-1] = True
+    keys = np.zeros(n + 2 * AROUND, "u8")  # a sentence's end, and the text's, is less than any word near it
+    keys[AROUND : n + AROUND] = np.where(ends, 0, (records["hash"][:, 0] >> np.uint64(1)) + np.uint64(1))
+    least = np.lib.stride_tricks.sliding_window_view(keys, 2 * AROUND + 1).min(axis=1)
+    return np.flatnonzero(keys[AROUND : n + AROUND] == least) + 1
+
+
+def _places(text: str, records: np.ndarray, ends: np.ndarray) -> list[int]:
+    """Where in the text the pieces end."""
+    if not len(ends):
+        return [len(text)] if text else []
+    return (len(text) - int(records["chars"].sum()) + np.cumsum(records["chars"], dtype="i8")[ends - 1]).tolist()
 
 
 def sentences(text: str) -> list[str]:
-    """Pieces that make the text when put together again. Where they end depends on the words there alone, so that copies
-    of a passage fall into the same pieces whatever stands around them."""
-    out = []
-    for piece in SENTENCE.findall(text):
-        last = 0
-        for m in INNER.finditer(piece):
-            out += _short(piece[last : m.end()])
-            last = m.end()
-        out += _short(piece[last:] if last else piece)
-    return out
-
-
-def _short(piece: str) -> list[str]:
-    if piece.count(" ") < LONG:
-        return [piece]
-    words = WORD.findall(piece)
-    if len(words) <= LONG:
-        return [piece]
-    out, last = [], len(piece) - sum(map(len, words))  # white space before the first word goes with it
-    start, before = 0, ""
-    for w in words:
-        last += len(w)
-        bare = w.rstrip().lower()
-        if bare != before and zlib.crc32(bare.encode("utf-8", "surrogatepass")) % CUT == 0:
-            out.append(piece[start:last])
-            start = last
-        before = bare
-    return out + [piece[start:]] if start < len(piece) else out
-
-
-def spans(pieces: list[str], min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, last sentence, 128-bit hash as two columns) of the spans of a text; case and white space don't count."""
-    n = len(pieces)
-    none = np.zeros(0, "i8")
-    if n < min_sentences:
-        return none, none, np.zeros((0, 2), "u8")
-    words = [p.lower().split() for p in pieces]
-    ends = np.cumsum([len(w) for w in words])
-    if ends[-1] < min_words:
-        return none, none, np.zeros((0, 2), "u8")
+    """Pieces that make the text when put together again."""
+    records = Tokens().records(text)
+    places = _places(text, records, cuts(records))
+    return [text[a:b] for a, b in zip([0, *places], places)]
+
+
+def spans(counts: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first piece, last piece) of the spans of a text whose pieces have so many words."""
+    n = len(counts)
+    ends = np.cumsum(np.asarray(counts, "i8"))
+    if n < max(min_sentences, 1) or ends[-1] < min_words:
+        return np.zeros(0, "i8"), np.zeros(0, "i8")
     starts = np.concatenate([[0], ends[:-1]])
     k = np.arange(n)
     last = np.maximum(np.searchsorted(ends, starts + min_words), k + min_sentences - 1)
     first = np.minimum(np.searchsorted(starts, ends - min_words, "right") - 1, k - min_sentences + 1)
     good, back = last < n, first >= 0
     both = np.unique(np.concatenate([k[good] << 32 | last[good], first[back] << 32 | k[back]]))
-    a, b = both >> 32, both & 0xFFFFFFFF
-    one = np.frombuffer(b"".join([xxhash.xxh3_128_digest(" ".join(w)) for w in words]), "u8").reshape(n, 2)
-    sums = np.zeros((len(a), 2), "u8")
-    prime = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], "u8")
-    length = b - a + 1
-    for step in range(int(length.max()) if len(length) else 0):
-        on = length > step
-        x = (sums[on] ^ one[a[on] + step]) * prime
-        sums[on] = x ^ (x >> np.uint64(29))
-    return a, b, sums
+    return both >> 32, both & 0xFFFFFFFF
+
+
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit hashes, as two columns, of runs of words given by the words' hashes; where pieces end doesn't count."""
+    n = len(words)
+    powers = np.cumprod(np.broadcast_to(_PRIMES, (n, 2)), axis=0, dtype="u8")
+    undo = np.cumprod(np.broadcast_to(_INVERSE, (n, 2)), axis=0, dtype="u8")
+    sums = np.concatenate([np.zeros((1, 2), "u8"), np.cumsum(words * powers, axis=0, dtype="u8")])
+    x = (sums[ends] - sums[starts]) * undo[starts]
+    x = (x ^ (x >> np.uint64(32))) * _PRIMES
+    return x ^ (x >> np.uint64(29))
 
 
 def find_spans(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
-    """(uid, t, h1, h2, place) of every span of docs (uid, t, text); place is first sentence * 2^32 + last."""
+    """(uid, t, h1, h2, place, late) of every span of docs (uid, t, text); place is first sentence * 2^32 + last.
+
+    Late spans are known to stand at an earlier place as well. Theirs are hashes of the place, so that a common span's
+    rows do not meet in one task."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
         for batch in batches:
             parts, size = [], 0
             for uid, t, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                a, b, h = spans(sentences(text), min_sentences, min_words)
+                records = tokens.records(text)
+                ends = cuts(records)
+                starts = np.concatenate([[0], ends[:-1]]).astype("i8")
+                a, b = spans(ends - starts if len(ends) else ends, min_sentences, min_words)
                 if len(a):
+                    h = run_hashes(records["hash"], starts[a], ends[b])
                     parts.append((np.full(len(a), uid), np.full(len(a), t), h[:, 0].view("i8"), h[:, 1].view("i8"), a << 32 | b))
                     size += len(a)
                 if size > 50_000:
@@ -111,7 +141,19 @@ def find_spans(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame
 
 
 def _rows(parts: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(np.concatenate(x))) for x in zip(*parts, strict=True)], ["uid", "t", "h1", "h2", "place"])
+    uid, t, h1, h2, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    late = np.zeros(len(uid), bool)
+    order = np.argsort(h1, kind="stable")
+    same = h1[order[1:]] == h1[order[:-1]]
+    on = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    if len(on):
+        on = on[np.lexsort((place[on], t[on], uid[on], h2[on], h1[on]))]
+        new = np.concatenate([[True], (h1[on[1:]] != h1[on[:-1]]) | (h2[on[1:]] != h2[on[:-1]])])
+        first = on[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        late[on] = (uid[on] != uid[first]) | (t[on] != t[first]) | (place[on] != place[first])
+        mixed = (uid.view("u8") * _PRIMES[0] ^ place.view("u8") * _PRIMES[1]).view("i8")
+        h1 = np.where(late, h1 ^ mixed, h1)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (uid, t, h1, h2, place, late)], ["uid", "t", "h1", "h2", "place", "late"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 1, min_words: int = 20) -> DataFrame:
@@ -124,11 +166,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     keyed = docs.select(*(F.col(f"`{c}`") for c in names)).withColumns({"__uid": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "__t": F.xxhash64(whole_text(text_col))})
     found = find_spans(keyed.select(F.col("__uid").alias("uid"), F.col("__t").alias("t"), whole_text(text_col).alias("text")), min_sentences, min_words)
-    # stored, so that both sides of a join are dealt out for it alone and Spark can split the rows of a common span
-    often = stored(found.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "often")
-    hits = stored(found.join(often, "h1"), "spans")
-    first = stored(hits.groupBy("h1", "h2").agg(F.min(F.struct("uid", "t", "place")).alias("first")), "first")
-    later = hits.join(first, ["h1", "h2"]).where(F.struct("uid", "t", "place") != F.col("first"))
+    order = Window.partitionBy("h1", "h2").orderBy("uid", "t", "place")  # rows of one document tie at its first place
+    later = found.withColumn("rank", F.rank().over(order)).where("late or rank > 1")
     later = later.groupBy("uid", "t").agg(F.collect_set("place").alias("places"))  # at most two a sentence of one text
     later = later.select(F.col("uid").alias("__uid"), F.col("t").alias("__t"), F.col("places").alias("__places"))
     joined = keyed.join(later, ["__uid", "__t"], "left").select(*(F.col(f"`{c}`") for c in names), "__places")
@@ -136,16 +175,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at = names.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
         for batch in batches:
             texts, total, gone = [], [], []
             for text, places in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                pieces = sentences(text or "")
-                kept = [True] * len(pieces)
+                records = tokens.records(text or "")
+                ends = _places(text or "", records, cuts(records))
+                kept = [True] * len(ends)
                 for p in places or ():
                     for k in range(p >> 32, (p & 0xFFFFFFFF) + 1):
                         kept[k] = False
-                texts.append("".join(x for x, k in zip(pieces, kept, strict=True) if k) if places else text)
-                total.append(len(pieces))
+                texts.append("".join(text[a:b] for a, b, k in zip([0, *ends], ends, kept) if k) if places else text)
+                total.append(len(ends))
                 gone.append(kept.count(False))
             columns = [batch.column(k) for k in range(len(names))]
             columns[at] = pa.array(texts, pa.string())

@@ -10,7 +10,7 @@ import pytest
 from quernstone.llm.decontaminate import WALKS, Items, best_match, cgk, decontaminated, edits_allowed, leaks, samples
 from quernstone.llm.minhash import Words, bag_minhash, near_duplicates, shingles, similar
 from quernstone.llm.neardup_vectors import near_vectors
-from quernstone.llm.substring import remove_repeats, sentences, spans
+from quernstone.llm.substring import find_spans, remove_repeats, sentences, spans
 
 DOCS = "doc_id long, text string, uid long, v long, band string, kept string, item_id long"
 
@@ -178,6 +178,58 @@ def test_remove_repeats_of_odd_rows(spark):
     assert "".join(sentences(t)) == t and spans([], 1, 20)[0].size == 0
 
 
+def repeated_runs(texts, least):
+    """(text, first word, end) of the runs whose windows of `least` words all stand in an earlier text."""
+    seen, runs = set(), []
+    for d, t in enumerate(texts):
+        w = t.lower().split()
+        windows = [tuple(w[k : k + least]) for k in range(len(w) - least + 1)]
+        start = None
+        for k, x in enumerate([*windows, None]):
+            if x in seen and start is None:
+                start = k
+            elif x not in seen and start is not None:
+                runs.append((d, start, k + least - 1))
+                start = None
+        seen.update(windows)
+    return runs
+
+
+def test_repeated_runs_go_whatever_stands_around(spark):
+    rng = random.Random(6)
+    kinds = []
+    for k in range(60):  # without stops; in sentences of 25 words; with capitals; one that begins with a long sentence
+        words = [f"q{k}{w}" for w in prose(rng, rng.randint(50, 90))]
+        for at in ((), range(24, len(words), 25), range(7, len(words), 9), (24,))[k % 4]:
+            words[at] += "."
+        kinds.append([w.capitalize() if k % 4 == 2 and rng.random() < 0.3 else w for w in words])
+    texts = []
+    for words in kinds * 3:
+        before, after = prose(rng, rng.choice([0, 1, 10, 25, 40])), prose(rng, rng.choice([0, 1, 10, 40]))
+        texts.append(" ".join(before + words + after))
+    runs = repeated_runs(texts, 50)
+    assert len(runs) == 120
+    got = {r.doc_id: r.text for r in remove_repeats(docs_of(spark, texts)).collect()}
+    left = []
+    for d, a, b in runs:
+        w, stay = texts[d].split(), got[d].split()
+        head = next((k for k in range(b - a) if stay[a + k : a + k + 1] != [w[a + k]]), b - a)
+        assert stay == w[: a + head] + w[len(w) - (len(stay) - a - head) :]  # one gap, and nothing else goes
+        left.append(b - a - (len(w) - len(stay)))
+    assert max(left) < 25 and sum(left) / len(left) < 10, (max(left), sum(left) / len(left))
+    assert all(got[k] == texts[k] for k in range(60))
+
+
+def test_common_spans_do_not_meet(spark):
+    rng = random.Random(7)
+    line = text_of(rng, 8)
+    texts = [line + " " + text_of(rng, 3) for _ in range(300)]
+    docs = docs_of(spark, texts).selectExpr("doc_id as uid", "doc_id as t", "text")
+    assert max(r["count"] for r in find_spans(docs, 1, 20).groupBy("h1", "h2").count().collect()) <= docs.rdd.getNumPartitions()
+    got = {r.doc_id: r.text for r in remove_repeats(docs_of(spark, texts)).collect()}
+    assert got[0] == texts[0] and not any(line[:-20] in got[k] for k in range(1, 300))
+
+
 # benchmark decontamination
 
 
