@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.bpe import bpe_digests
+from quernstone.llm.common import text_key, whole_text
 from quernstone.llm.decontaminate import decontaminated
 from quernstone.llm.minhash import near_duplicates
 from quernstone.llm.substring import remove_repeats
@@ -24,8 +25,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group of near-duplicates."""
-    gone = near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    found = near_duplicates(docs, with_key=True).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    gone = found.select("doc_id", F.col("key").alias("__key")).distinct()  # another text of the same id may stay
+    return docs.withColumn("__key", text_key(whole_text())).join(gone, ["doc_id", "__key"], "left_anti").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

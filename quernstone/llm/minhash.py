@@ -217,26 +217,28 @@ def _across(members: DataFrame, texts: DataFrame, size: int, threshold: float, b
     return base.select(columns).unionByName(asking.select(columns)).groupBy("family", "ask_block", "block").applyInArrow(link, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, block: int = 2048, with_key: bool = False) -> DataFrame:
     """Per row: doc_id, text_class (smallest id of an equal text), class_id (smallest id of the texts that links of
     weighted Jaccard >= threshold connect), kept (whether doc_id is class_id).
 
     Words are runs of letters and digits, lower-cased; a text of fewer than `size` words is one shingle; texts without
     words link with equal texts only. A null text counts as an empty one, a null id as the smallest. Of rows that
-    repeat an id, all have its classes; where such rows hold different texts, each has the class of its own text. Other
-    columns are ignored; an empty table gives none."""
+    repeat an id, all have its classes; where such rows hold different texts, each has the class of its own text, which `key`
+    (text_key, on request) tells. Other columns are ignored; an empty table gives none."""
     lowest = F.lit(-(1 << 63))
     text = whole_text(text_col)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("uid"), text_key(text).alias("key"), text.alias("text"))
     signed = stored(_signed(rows, size), "signed")
     # a class's rows meet in a minimum; its bands follow the smallest id, and equal texts have equal bands
-    classes = stored(signed.groupBy("key").agg(F.min("uid").alias("uid"), F.any_value("bands").alias("bands")), "classes")
-    entries = classes.select(F.explode("bands").alias("band"), "uid")
-    leaders = entries.groupBy("band").agg(F.min("uid").alias("u"), F.count("*").alias("n")).where("n > 1").select("band", "u")
-    buckets = stored(entries.join(leaders, "band").select("band", "u", F.col("uid").alias("v")), "buckets")
+    classes = signed.groupBy("key").agg(F.min("uid").alias("uid"), F.any_value("bands").alias("bands"))
+    # ids may repeat, so each distinct text gets a number of its own, which is settled by storing it
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    entries = classes.select(F.explode("bands").alias("band"), "node")
+    leaders = entries.groupBy("band").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").select("band", "u")
+    buckets = stored(entries.join(leaders, "band").select("band", "u", F.col("node").alias("v")), "buckets")
     pairs = stored(buckets.where("u < v").select("u", "v").distinct(), "pairs")
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct().join(classes.select("uid", F.col("key").alias("of")), "uid")
-    texts = stored(rows.join(needed, "uid").where(F.col("key") == F.col("of")).dropDuplicates(["uid"]).select("uid", "text"), "texts")
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes.select("node", "uid", "key"), "node")
+    texts = stored(rows.join(needed, ["uid", "key"]).dropDuplicates(["node"]).select(F.col("node").alias("uid"), "text"), "texts")
     links = stored(_verified(pairs, texts, size, threshold), "links")
     known = components(links)
     # what a bucket's smallest text doesn't join may still be linked: compare texts of different groups with each other
@@ -247,7 +249,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         families = components(mixed.select("u", "v"))
         members = mixed.select("v", "group").distinct().join(families.select(F.col("node").alias("v"), F.col("component").alias("family")), "v")
         known = components(links.unionByName(_across(members, texts, size, threshold, block)))
-    of = classes.join(known.withColumnRenamed("node", "uid"), "uid", "left").select("key", F.col("uid").alias("text_class"), F.coalesce("component", "uid").alias("class_id"))
+    smallest = known.join(classes.select("node", "uid"), "node").groupBy("component").agg(F.min("uid").alias("smallest"))
+    known = known.join(smallest, "component").select("node", "smallest")
+    of = classes.join(known, "node", "left").select("key", F.col("uid").alias("text_class"), F.coalesce("smallest", "uid").alias("class_id"))
     out = signed.select("uid", "key").join(of, "key")
     null = lambda c: F.when(F.col(c) > lowest, F.col(c)).alias(c)
-    return out.select(F.when(F.col("uid") > lowest, F.col("uid")).alias("doc_id"), null("text_class"), null("class_id"), (F.col("uid") == F.col("class_id")).alias("kept"))
+    return out.select(F.when(F.col("uid") > lowest, F.col("uid")).alias("doc_id"), null("text_class"), null("class_id"), (F.col("uid") == F.col("class_id")).alias("kept"), *(["key"] if with_key else []))

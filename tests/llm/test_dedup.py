@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from corpus_pipeline import near_dedup
+from quernstone.llm.common import text_key, whole_text
 from quernstone.llm.decontaminate import WALKS, Items, best_match, cgk, decontaminated, edits_allowed, leaks, samples
 from quernstone.llm.minhash import Words, bag_minhash, near_duplicates, shingles, similar
 from quernstone.llm.neardup_vectors import near_vectors
@@ -95,6 +97,22 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.class_id is None) for r in rows) == [(False, 5, True), (False, 5, True), (False, 6, False), (True, 0, True)]
 
 
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    rng = random.Random(8)
+    near, other, third = prose(rng, 80), prose(rng, 80), prose(rng, 80)
+    texts = {name: " ".join(w) for name, w in (("T", near), ("B", other), ("C", third))}
+    t, b, c = (texts[k] + " end" for k in "TBC")
+    for mine in ([t, texts["B"]], [texts["B"], t]):
+        docs = docs_of(spark, [(3, texts["T"]), (5, mine[0]), (5, mine[1]), (9, b), (None, texts["C"]), (None, "alone here"), (7, c)]).select("doc_id", "text")
+        left = {(r.doc_id, r.text) for r in near_dedup(spark, docs, "").collect()}
+        assert left == {(3, texts["T"]), (5, texts["B"]), (None, texts["C"]), (None, "alone here")}
+        found = near_duplicates(docs, with_key=True).drop("doc_id").distinct()
+        got = {(r.doc_id, r.text): (r.class_id, r.kept) for r in docs.withColumn("key", text_key(whole_text())).join(found, "key").collect()}
+        assert {k for k, (_, kept) in got.items() if kept} == left
+        assert {k: c for k, (c, kept) in got.items() if not kept} == {(5, t): 3, (9, b): 5, (7, c): None}
+
+
+
 def test_bag_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 63, 60).astype("u8")
