@@ -6,7 +6,7 @@ A shard `part-00000-of-00012.bin` holds, for each document, a frame
 
 (little-endian; a CRC is masked by rotating it right by 15 bits and adding 0xa282ead8, so that checksums of data that
 hold checksums stay sound). The payload is: id of the document (signed 64 bits), width of an id in bytes (one byte: 2
-where all ids of the shard's tokenizer fit, else 4), and the ids. `part-...idx` has the offset of every frame as unsigned
+where all ids of the shard's tokenizer fit, else 4; 128 more where the document has no id, and that is 0), and the ids. `part-...idx` has the offset of every frame as unsigned
 64 bits, with the file's length at the end, so readers can shuffle single records. Files get their names when they are
 complete; `manifest` is a table of what belongs to the data set, so files of failed attempts are never read."""
 
@@ -26,6 +26,7 @@ from .common import commit_file, new_folder, open_fs, whole_text
 from .tokens import cached_words
 
 MANIFEST = "part int, file string, index string, records long, tokens long, bytes long"
+_NO_ID = 128
 
 
 def masked_crc(data: bytes) -> int:
@@ -51,20 +52,20 @@ def read_frame(stream) -> bytes | None:
     return payload
 
 
-def pack(doc_id: int, ids: np.ndarray, width: int) -> bytes:
-    return struct.pack("<qB", doc_id, width) + ids.astype(f"<u{width}").tobytes()
+def pack(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
+    return struct.pack("<qB", doc_id or 0, width | _NO_ID * (doc_id is None)) + ids.astype(f"<u{width}").tobytes()
 
 
-def unpack(payload: bytes) -> tuple[int, np.ndarray]:
+def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     doc_id, width = struct.unpack_from("<qB", payload)
-    return doc_id, np.frombuffer(payload, f"<u{width}", offset=9)
+    return None if width & _NO_ID else doc_id, np.frombuffer(payload, f"<u{width & ~_NO_ID}", offset=9)
 
 
 def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", step: int = 512) -> DataFrame:
     """Encode whole texts and write them in ascending id order; returns the manifest, which is stored beside the files.
 
-    Null texts are empty (they hold the end id alone); a null id is an error; repeated ids keep one frame per row, in
-    the order of their texts; other columns are ignored; an empty table makes an empty manifest."""
+    Null texts are empty (they hold the end id alone); null ids come first; repeated and null ids keep one frame per
+    row, in the order of their texts; other columns are ignored; an empty table makes an empty manifest."""
     rows = docs.select(F.col(id_col).cast("long").alias("i"), whole_text(text_col).alias("t"))
     rows = rows.repartitionByRange("i").sortWithinPartitions("i", "t")
 
@@ -81,8 +82,6 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
         filesystem.create_dir(os.path.dirname(path), recursive=True)
         with filesystem.open_output_stream(path + ".bin") as out:
             for batch in batches:
-                if batch.column(0).null_count:
-                    raise ValueError(f"{id_col} must not be null")
                 for lo in range(0, batch.num_rows, step):
                     some = batch.slice(lo, step)
                     for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
@@ -138,7 +137,7 @@ def _tasks(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def read_record(file: str, index: str, number: int) -> tuple[int, np.ndarray]:
+def read_record(file: str, index: str, number: int) -> tuple[int | None, np.ndarray]:
     """One record by its number, through the index: what a shuffled reader does."""
     filesystem, path = open_fs(index)
     with filesystem.open_input_file(path) as f:

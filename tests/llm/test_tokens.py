@@ -88,6 +88,18 @@ def test_token_records(spark):
     assert token_digests(frame_of(spark, texts).limit(0), WORD).collect() == []
 
 
+def test_token_records_of_null_ids(spark):
+    rows = [(0, "zero"), (None, "beta gamma"), (-5, "minus"), (None, None), (None, "alpha")]
+    tokenizer, want, start = load(WORD), [], 0
+    for doc_id, t in [(None, None), (None, "alpha"), (None, "beta gamma"), (-5, "minus"), (0, "zero")]:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = token_digests(docs, WORD).collect()
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == want
+
+
 def test_record_index(spark, tmp_path):
     manifest = [m.asDict() for m in write_token_records(frame_of(spark, TEXTS), f"file://{tmp_path}/r", WORD, 2).collect()]
     tokenizer, seen = load(WORD), 0
