@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<gone>script|style|noscript|template|svg|canvas|iframe|object|math|select|button|textarea|title)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=gone)\s*>|\Z)"
+    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<gone>script|style|iframe|textarea|title)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=gone)\s*>|\Z)"
+    r"|(?P<drawn><svg(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:(?<=/>)|(?:(?!<svg[\s/>]).)*?</svg\s*>))|(?P<empty><math(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?<=/>))"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<more>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-z!?][^>]*(?:>|\Z)|</>",
     re.S | re.I,
 )
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br picture source label".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br picture source label math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mpadded semantics annotation svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag also ends these, up to the nearest of the second kind.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -68,8 +69,10 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         if tag is None:
             if m[0].startswith("<![CDATA["):
                 own.append(html.escape(m[0][9:].removesuffix("]]>")))
-            elif m["gone"] and m["gone"].lower() not in INLINE:
-                flush() if m["gone"].lower() not in ("script", "style", "button", "svg") else own.append(" ")
+            elif m["gone"]:
+                flush() if m["gone"].lower() not in ("script", "style") else own.append(" ")
+            elif m["drawn"] or m["empty"]:
+                own.append(" ")
             continue
         tag = tag.lower()
         if tag not in INLINE:

@@ -216,3 +216,9 @@ def test_stages_of_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("odd", ["<svg width='1'/>", "<svg>", "<math/>", "<button>", "<select>", "<object>", "<canvas>", "<noscript>", "<template>"])
+def test_text_after_odd_elements_stays(odd):
+    found = " ".join(t for _, t, _ in blocks(f"<p>before {odd} after</p><p>more</p><button>go</button><svg><text>drawn</text></svg><p>x is <math><mi>y</mi></math></p>"))
+    assert all(w in found.split() for w in ("before", "after", "more", "x", "y")) and "drawn" not in found
