@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,17 +16,27 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where that is unset, a temporary one serves if
+    everything runs in one process; on a cluster that would be another disk for each machine, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = _OWN.setdefault("dir", "") or "file://" + tempfile.mkdtemp(prefix="quernstone-")
         _OWN["dir"] = found
     return found.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call has got."""
-    return f"{shared_dir(spark)}/quernstone-{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other call has got. What is written there lives until the application ends."""
+    key = f"{spark.sparkContext.applicationId} {shared_dir(spark)}"
+    if key not in _OWN:
+        _OWN[key] = f"{shared_dir(spark)}/quernstone-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_OWN[key])
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return f"{_OWN[key]}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -35,6 +46,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path in it) of a URI or a plain local path."""
     from pyarrow import fs

@@ -11,44 +11,45 @@ with each other, and every link is verified on the whole multisets. Equal texts
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored, text_key, whole_text
+from .common import components, mix, stored, text_key, whole_text
 
-WORD = re.compile(r"\w+")
 _A, _B, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 REGISTERS, BANDS = 125, 25
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * _A
-    x = (x ^ (x >> np.uint64(27))) * _B
-    return x ^ (x >> np.uint64(31))
-
-
 class Words:
-    """64-bit hashes of words, kept in a bounded table."""
+    """64-bit hashes of a text's words (lower-cased runs of what \\w matches), from its characters' codes alone: a word's
+    hash is a polynomial in its characters' mixed codes, so no table of words is kept."""
+
+    _kind: list[np.ndarray] = []
 
-    def __init__(self, most: int = 300_000):
-        self.known, self.most = {}, most
+    def __init__(self):
+        if not self._kind:
+            self._kind.append(np.fromiter((c.isalnum() or c == "_" for c in map(chr, range(0x110000))), bool, 0x110000))
+        self.in_word, self.powers = self._kind[0], np.cumprod(np.full(64, _STEP))
 
     def hashes(self, text: str) -> np.ndarray:
-        words = WORD.findall(text.lower())
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), "u8", len(words))
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+        on = self.in_word[codes]
+        edges = np.flatnonzero(np.diff(on, prepend=False, append=False))
+        starts, lengths = edges[::2], np.diff(edges)[::2]
+        if not len(starts):
+            return np.zeros(0, "u8")
+        if (longest := int(lengths.max())) > len(self.powers):
+            self.powers = np.cumprod(np.full(2 * longest, _STEP))
+        x = codes[on].astype("u8") * _A
+        x ^= x >> np.uint64(29)
+        ends = np.cumsum(lengths)
+        firsts = ends - lengths
+        x *= self.powers[np.arange(len(x)) - np.repeat(firsts, lengths)]
+        return mix(np.add.reduceat(x, firsts) ^ lengths.astype("u8"))
 
 
 def shingles(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,17 +137,25 @@ def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return both >= threshold * (int(a[1].sum()) + int(b[1].sum()) - both) - 1e-9 and both > 0
 
 
-def _signed(docs: DataFrame, size: int, step: int = 64) -> DataFrame:
-    """(uid, key, bands) of each text of docs (uid, key, text); texts without words have no bands."""
+def _signed(docs: DataFrame, size: int, step: int = 256, together: int = 1 << 20) -> DataFrame:
+    """(uid, key, bands) of each text of docs (uid, key, text); texts without words have no bands. At most `step` texts
+    and about `together` characters are signed at a time."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            for lo in range(0, batch.num_rows, step):
-                some = batch.slice(lo, step)
-                bags = [shingles(words.hashes(t), size) for t in some.column(2).to_pylist()]
-                keys = bands(bag_minhash(bags)).view("i8")
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([row.tolist() if len(b[0]) else [] for row, b in zip(keys, bags, strict=True)], pa.list_(pa.int64()))], ["uid", "key", "bands"])
+            bags, held, low = [], 0, 0
+            for k in range(batch.num_rows):
+                text = batch.column(2)[k].as_py()
+                bags.append(shingles(words.hashes(text), size))
+                held += len(text)
+                if held >= together or len(bags) == step or k == batch.num_rows - 1:
+                    keys = bands(bag_minhash(bags)).view("i8")
+                    on = np.array([len(h) > 0 for h, _ in bags])
+                    ends = np.concatenate([[0], np.cumsum(on * keys.shape[1])])
+                    found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[on].ravel()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(bags)), batch.column(1).slice(low, len(bags)), found], ["uid", "key", "bands"])
+                    bags, held, low = [], 0, k + 1
 
     return docs.select("uid", "key", "text").mapInArrow(sign, "uid long, key binary, bands array<long>")
 
@@ -171,13 +180,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
     return both.mapInArrow(verify, "u long, v long")
 
 
-def _across(members: DataFrame, texts: DataFrame, size: int, threshold: float, block: int) -> DataFrame:
+def _across(members: DataFrame, texts: DataFrame, size: int, threshold: float, block: int, chars: int = 1 << 22) -> DataFrame:
     """Links (u, v) between different groups of members (v, group, family); of those that join the same groups, some.
 
     A family's texts outside its largest group are held against all of its texts, through lists of the texts that hold
-    a shingle; large families are dealt out in tiles of one block of the former and one of the latter."""
-    groups = members.groupBy("family", "group").agg(F.count("*").alias("n"))
-    largest = groups.groupBy("family").agg(F.max(F.struct("n", F.col("group").alias("main"))).alias("x"), F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    a shingle; large families are dealt out in tiles of one block of the former and one of the latter, which hold about
+    `block` texts and `chars` characters each."""
+    sized = members.join(texts.select(F.col("uid").alias("v"), "chars"), "v")
+    groups = sized.groupBy("family", "group").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    blocks = F.ceil(F.greatest(F.sum("n") / block, F.sum("chars") / chars)).cast("int")
+    largest = groups.groupBy("family").agg(F.max(F.struct("n", F.col("group").alias("main"))).alias("x"), blocks.alias("blocks"))
     placed = members.join(largest.select("family", "x.main", "blocks"), "family").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     placed = placed.join(texts.select(F.col("uid").alias("v"), "text"), "v")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -217,7 +229,7 @@ def _across(members: DataFrame, texts: DataFrame, size: int, threshold: float, b
     return base.select(columns).unionByName(asking.select(columns)).groupBy("family", "ask_block", "block").applyInArrow(link, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, block: int = 2048, with_key: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, block: int = 512, with_key: bool = False) -> DataFrame:
     """Per row: doc_id, text_class (smallest id of an equal text), class_id (smallest id of the texts that links of
     weighted Jaccard >= threshold connect), kept (whether doc_id is class_id).
 
@@ -238,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = stored(entries.join(leaders, "band").select("band", "u", F.col("node").alias("v")), "buckets")
     pairs = stored(buckets.where("u < v").select("u", "v").distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes.select("node", "uid", "key"), "node")
-    texts = stored(rows.join(needed, ["uid", "key"]).dropDuplicates(["node"]).select(F.col("node").alias("uid"), "text"), "texts")
+    texts = stored(rows.join(needed, ["uid", "key"]).dropDuplicates(["node"]).select(F.col("node").alias("uid"), "text", F.length("text").alias("chars")), "texts")
     links = stored(_verified(pairs, texts, size, threshold), "links")
     known = components(links)
     # what a bucket's smallest text doesn't join may still be linked: compare texts of different groups with each other
