@@ -12,8 +12,6 @@ import heapq
 import json
 import mmap
 import os
-import re
-import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -23,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import commit_file, new_folder, open_fs, stored, whole_text
-from .tokens import BYTE_PIECES, NOT_PLAIN, load, specials
+from .tokens import Pieces, TextEncoder, load
 
 
 def byte_alphabet() -> list[str]:
@@ -105,15 +103,20 @@ class Merges:
 
 
 class Transducer:
-    """A mapped automaton file; see `compile_words` for its arrays."""
+    """An automaton file, mapped into memory or, where its file system can't, read; see `compile_words` for its arrays."""
 
     MAGIC = b"QMAT0001"
 
-    def __init__(self, file: str):
-        with open(file, "rb") as f:
-            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    def __init__(self, uri: str):
+        filesystem, path = open_fs(uri)
+        if filesystem.type_name == "local":
+            with open(path, "rb") as f:
+                self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        else:
+            with filesystem.open_input_stream(path) as f:
+                self.map = f.read()
         if self.map[:8] != self.MAGIC:
-            raise ValueError(f"{file} is no transducer")
+            raise ValueError(f"{uri} is no transducer")
         edges, words, total = (int(x) for x in np.frombuffer(self.map, "<u8", 3, 8))
         at = 32
         take = lambda kind, n: np.frombuffer(self.map, kind, n, at)
@@ -128,17 +131,16 @@ class Transducer:
         self.ids = take("<u4", total)
         self.size = words
 
-    def find(self, words: list[bytes]) -> list[np.ndarray | None]:
-        """The ids of each word, None where the lexicon lacks it; all words go one byte further at a time."""
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, -1 where the lexicon lacks it; all words go one byte further at a time."""
         n = len(words)
         lengths = np.fromiter(map(len, words), "i8", n)
-        out: list[np.ndarray | None] = [None] * n
+        out = np.full(n, -1, "i8")
         if not n or not len(self.keys):
             return out
         text, starts = np.frombuffer(b"".join(words), "u1"), np.cumsum(lengths) - lengths
         alive = np.flatnonzero(lengths > 0)
         state, number = np.zeros(n, "u8"), np.zeros(n, "i8")
-        final = np.zeros(n, bool)
         depth = 0
         while len(alive):
             key = state[alive] * np.uint64(256) + text[starts[alive] + depth]
@@ -150,15 +152,17 @@ class Transducer:
             state[alive] = target >> 1
             depth += 1
             done = lengths[alive] == depth
-            final[alive[done]] = (target[done] & 1).astype(bool)
+            ended = alive[done & (target & 1 > 0)]
+            out[ended] = number[ended]
             alive = alive[~done]
-        for k in np.flatnonzero(final).tolist():
-            w = number[k]
-            out[k] = self.ids[self.offsets[w] : self.offsets[w + 1]]
         return out
 
+    def spell(self, number: int) -> np.ndarray:
+        """The ids of a numbered word."""
+        return self.ids[self.offsets[number] : self.offsets[number + 1]]
+
 
-def compile_words(words: Iterable[tuple[bytes, list[int]]], file: str) -> int:
+def compile_words(words: Iterable[tuple[bytes, list[int]]], uri: str) -> int:
     """Build the minimal automaton of distinct non-empty words, given in ascending order, and write it; its edges.
 
     The incremental construction for sorted input: a state is frozen once no further word can change it, and is then
@@ -203,98 +207,119 @@ def compile_words(words: Iterable[tuple[bytes, list[int]]], file: str) -> int:
             rows.append((name(k) * 256 + b, name(t) * 2 + tables[t][1], skip))
             skip += below[t]
     rows.sort()
-    with open(file, "wb") as f:
+    filesystem, path = open_fs(f"{uri}.new")
+    filesystem.create_dir(os.path.dirname(path), recursive=True)
+    with filesystem.open_output_stream(path) as f:
         f.write(Transducer.MAGIC + np.array([len(rows), len(offsets) - 1, len(ids)], "<u8").tobytes())
         for column, kind in ((0, "<u8"), (1, "<u4"), (2, "<u4")):
             f.write(np.array([r[column] for r in rows], kind).tobytes())
         f.write(np.array(offsets, "<u4").tobytes() + np.array(ids, "<u4").tobytes())
+    commit_file(uri, f"{uri}.new")
     return len(rows)
 
 
-class Splitter:
-    """Pre-tokenizes texts as the byte-level tokenizer does; a special token in a text stays one piece, as bytes b'\\0' + id."""
+class Merger:
+    """Exact merges of many words at a time by the tokenizers library, without its splitter and its own table of words.
 
-    def __init__(self, path: str):
-        self.path, self.special, self.library = path, specials(path), None
-        self.cut = re.compile("(" + ("|".join(map(re.escape, self.special)) or "(?!)") + ")")
-
-    def pieces(self, text: str) -> list[str]:
-        if NOT_PLAIN.search(text):
-            self.library = self.library or load(self.path)
-            return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
-        return BYTE_PIECES.findall(text)
-
-    def split(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
-        """Stretches of pieces, each with the special token's id that comes before it."""
-        if not self.cut.search(text):
-            yield None, self.pieces(text)
-            return
-        before = None
-        for part in self.cut.split(text):
-            if part in self.special:
-                if before is not None:
-                    yield before, []
-                before = self.special[part]
-            elif part or before is not None:
-                yield before, self.pieces(part)
-                before = None
-        if before is not None:
-            yield before, []
+    Words stand apart by line ends, whose id no other piece gives; the few with line ends in them are merged here."""
+
+    def __init__(self, path: str, merges: Merges):
+        from tokenizers import pre_tokenizers
+
+        self.merges, self.library = merges, load(path)
+        self.library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.library.model._resize_cache(0)
+        self.end = merges.first[10]
+
+    def __call__(self, words: list[str], together: int = 200) -> list[np.ndarray]:
+        own = [k for k, w in enumerate(words) if "\n" in w]
+        if own:
+            out: list = [None if "\n" not in w else np.array(self.merges.encode(w.encode()), "u4") for w in words]
+            rest = [k for k, x in enumerate(out) if x is None]
+            for k, x in zip(rest, self([words[k] for k in rest]), strict=True):
+                out[k] = x
+            return out
+        lines = ["".join(w + "\n" for w in words[k : k + together]) for k in range(0, len(words), together)]
+        ids = np.concatenate([np.array(e.ids, "u4") for e in self.library.encode_batch_fast(lines, add_special_tokens=False)] or [np.zeros(0, "u4")])
+        ends = np.flatnonzero(ids == self.end)
+        if len(ends) != len(words):
+            raise ValueError("the library split words otherwise than at line ends")
+        return [ids[a:b] for a, b in zip([0, *(ends + 1).tolist()], ends.tolist())]
 
 
 class Bpe:
-    """Encodes and decodes whole texts with a transducer; words seen lately stay in a bounded table."""
+    """Encodes and decodes whole texts: new words are looked up in the transducer, and merged where it lacks them."""
 
-    def __init__(self, path: str, lexicon: str | None = None, most: int = 250_000):
-        self.merges, self.splitter, self.most = Merges(path), Splitter(path), most
-        self.lexicon = Transducer(lexicon) if lexicon else None
-        self.known: dict[str, bytes] = {}
+    def __init__(self, path: str, lexicon: str | None = None, most: int = 300_000):
+        self.merges = Merges(path)
+        self.merge, self.lexicon = Merger(path, self.merges), Transducer(lexicon) if lexicon else None
+        self.encoder = TextEncoder(path, True, self._learn, most)
 
-    def _learn(self, new: list[str]) -> None:
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            words = [w.encode() for w in some]
-            found = self.lexicon.find(words) if self.lexicon else [None] * len(words)
-            for w, raw, ids in zip(some, words, found, strict=True):
-                self.known[w] = (np.array(self.merges.encode(raw), "<u4") if ids is None else ids).tobytes()
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        numbers = self.lexicon.find([w.encode() for w in words]) if self.lexicon else np.full(len(words), -1)
+        out = [self.lexicon.spell(k) if k >= 0 else None for k in numbers.tolist()]
+        missing = np.flatnonzero(numbers < 0).tolist()
+        for k, ids in zip(missing, self.merge([words[k] for k in missing]), strict=True):
+            out[k] = ids
+        return np.fromiter(map(len, out), "i8", len(out)), np.concatenate(out).astype("u4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [list(self.splitter.split(x)) for x in texts]
-        seen = set().union(*(pieces for parts in split for _, pieces in parts))
-        new = [p for p in seen if p not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(seen)
-        self._learn(new)
-        out = []
-        for parts in split:
-            row = []
-            for special, pieces in parts:
-                if special is not None:
-                    row.append(special.to_bytes(4, "little"))
-                row.extend(map(self.known.__getitem__, pieces))
-            out.append(b"".join(row))
-        return out
+        return [x.astype("<u4").tobytes() for x in self.encoder.encode(texts)]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.merges.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", flush: int = 400_000) -> DataFrame:
-    """(word, n) over all documents; each task adds up before it hands on."""
+class _Counts:
+    """Counts of pieces by their hashes, and one text of each."""
+
+    def __init__(self):
+        self.keys, self.counts, self.words = [], [], []
+        self.size = 0
+
+    def add(self, pieces: Pieces) -> None:
+        keys, at, counts = np.unique(pieces.hashes, return_index=True, return_counts=True)
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.words.append(pa.array(map(pieces.text, at.tolist()), pa.string()))
+        self.size += len(keys)
+
+    def rows(self) -> pa.RecordBatch:
+        words = pa.concat_arrays(self.words)
+        _, at, of = np.unique(np.concatenate(self.keys), return_index=True, return_inverse=True)
+        counts = np.bincount(of, np.concatenate(self.counts)).astype("i8")
+        return pa.RecordBatch.from_arrays([words.take(pa.array(at)), pa.array(counts)], ["word", "n"])
+
+
+def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", flush: int = 600_000, together: int = 1 << 20) -> DataFrame:
+    """(word, n) over all documents; each task adds up before it hands on. Texts that the library must cut (see tokens)
+    are cut by it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, counts = Splitter(tokenizer), Counter()
+        encoder, counts, odd = TextEncoder(tokenizer, True, None, 1), _Counts(), Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for _, pieces in splitter.split(text):
-                    counts.update(pieces)
-                if len(counts) > flush:
-                    yield _counted(counts)
-                    counts = Counter()
-        if counts:
-            yield _counted(counts)
+            some, size = [], 0
+            for k in range(batch.num_rows):
+                text = batch.column(0)[k].as_py()
+                if encoder.plain(text):
+                    some.append(text)
+                    size += len(text)
+                else:
+                    odd.update(text[a:b] for _, (a, b) in encoder.tokenizer.pre_tokenizer.pre_tokenize_str(text))
+                if some and (size > together or k == batch.num_rows - 1):
+                    counts.add(Pieces(some, True))
+                    some, size = [], 0
+                if counts.size > flush:
+                    yield counts.rows()
+                    counts = _Counts()
+                if len(odd) > flush:
+                    yield _counted(odd)
+                    odd = Counter()
+        if counts.size:
+            yield counts.rows()
+        if odd:
+            yield _counted(odd)
 
     found = docs.select(whole_text(text_col).alias("t")).mapInArrow(count, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
@@ -315,35 +340,19 @@ def build_lexicon(docs: DataFrame, tokenizer: str, words: int = 1 << 17, text_co
     least = levels.where(F.col("c") <= words).agg(F.min("n")).first()[0]
     merges = Merges(tokenizer)
     some = sorted(r[0].encode() for r in counts.where(F.col("n") >= least).select("word").collect()) if least else []
-    folder = new_folder(docs.sparkSession, "lexicon")
-    with tempfile.TemporaryDirectory() as own:
-        compile_words(((w, merges.encode(w)) for w in some if w), f"{own}/words")
-        filesystem, path = open_fs(f"{folder}/words")
-        filesystem.create_dir(os.path.dirname(path), recursive=True)
-        with open(f"{own}/words", "rb") as f, filesystem.open_output_stream(path + ".new") as out:
-            out.write(f.read())
-        commit_file(f"{folder}/words", f"{folder}/words.new")
-    return f"{folder}/words"
+    uri = new_folder(docs.sparkSession, "lexicon") + "/words"
+    compile_words(((w, merges.encode(w)) for w in some if w), uri)
+    return uri
 
 
 _READY: dict[tuple[str, str | None], Bpe] = {}
 
 
 def worker_bpe(tokenizer: str, lexicon: str | None) -> Bpe:
-    """One encoder per Python worker; it maps the shared file where that has a local path, else a copy of its own."""
+    """One encoder per Python worker."""
     if (tokenizer, lexicon) not in _READY:
         _READY.clear()
-        if lexicon is None:
-            _READY[tokenizer, lexicon] = Bpe(tokenizer)
-        else:
-            filesystem, path = open_fs(lexicon)
-            if filesystem.type_name == "local":
-                _READY[tokenizer, lexicon] = Bpe(tokenizer, path)
-            else:
-                with tempfile.NamedTemporaryFile() as own, filesystem.open_input_stream(path) as f:
-                    own.write(f.read())
-                    own.flush()
-                    _READY[tokenizer, lexicon] = Bpe(tokenizer, own.name)
+        _READY[tokenizer, lexicon] = Bpe(tokenizer, lexicon)
     return _READY[tokenizer, lexicon]
 
 
@@ -366,7 +375,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon: str | None = None
 
 def bpe_digests(docs: DataFrame, tokenizer: str, words: int = 1 << 17) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 (of the ids as unsigned 32-bit integers), decoded_sha256 (of the text
-    that decoding the ids gives). As encode_documents, with digests taken beside the encoder."""
+    that decoding the ids gives), taken beside the encoder. Null texts are empty; null and repeated ids pass through, a row
+    each; other columns are ignored; an empty table gives none."""
     lexicon = build_lexicon(docs, tokenizer, words)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

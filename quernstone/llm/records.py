@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import commit_file, new_folder, open_fs, whole_text
-from .tokens import cached_words
+from .tokens import word_encoder
 
 MANIFEST = "part int, file string, index string, records long, tokens long, bytes long"
 _NO_ID = 128
@@ -74,7 +74,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
 
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        encoder = cached_words(tokenizer)
+        encoder = word_encoder(tokenizer)
         tail = np.array([] if end_id is None else [end_id], "<u4")
         width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
         name, offsets, tokens, at = f"{folder}/part-{part:05d}", [], 0, 0
@@ -104,13 +104,14 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
 
 
 def read_token_records(manifest: DataFrame) -> DataFrame:
-    """(part, doc_id, first, ids as bytes of unsigned 32-bit integers), first being the ids before it in its file."""
+    """(part, doc_id, first, ids as bytes of unsigned 32-bit integers), first being the ids before it in its file, and in
+    the files before that where the manifest has their number as `before`."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, file, count in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for part, file, count, before in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 filesystem, path = open_fs(file)
-                first, seen, rows = 0, 0, ([], [], [])
+                first, seen, rows = before, 0, ([], [], [])
                 with filesystem.open_input_stream(path, buffer_size=1 << 20) as stream:
                     while (payload := read_frame(stream)) is not None:
                         doc_id, ids = unpack(payload)
@@ -125,7 +126,8 @@ def read_token_records(manifest: DataFrame) -> DataFrame:
                 if rows[0]:
                     yield _rows(part, rows)
 
-    files = manifest.select("part", "file", "records")
+    before = F.col("before") if "before" in manifest.columns else F.lit(0)
+    files = manifest.select("part", "file", "records", before.cast("long").alias("before"))
     return files.repartition(_tasks(manifest), "part").mapInArrow(read, "part int, doc_id long, first long, ids binary")
 
 
@@ -151,9 +153,9 @@ def read_record(file: str, index: str, number: int) -> tuple[int | None, np.ndar
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write the records of documents (doc_id, text), read them back, and return per document: doc_id, start (ids of
-    all documents before it), n_tokens (with the end id), ids_crc32 (of its ids as unsigned 32-bit integers)."""
+    all documents before it), n_tokens (with the end id), ids_crc32 (of its ids as unsigned 32-bit integers). Null and
+    empty texts, null and repeated ids and empty tables: as in write_token_records; every row comes back."""
     manifest = write_token_records(docs, new_folder(docs.sparkSession, "records"), tokenizer, end_id)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    starts = manifest.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"))
-    found = read_token_records(manifest).select("part", "doc_id", "first", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return found.join(F.broadcast(starts), "part").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    found = read_token_records(manifest.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0))))
+    return found.select("doc_id", F.col("first").alias("start"), (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
