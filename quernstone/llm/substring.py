@@ -1,147 +1,183 @@
 """Substring dedup over sliding sentence spans.
 
-From each sentence runs the shortest span of `min_words` words (several sentences, unless one has as many words), and to each
-sentence another, so every sentence of a repeated passage lies in a span that lies in the passage. Spans are hashed and
-met over all documents; of the places where a span stands, the first (smallest doc_id, then position) keeps it, and
-sentences that any other place covers are removed.
+A sentence ends with a word that ends in a stop (or a closing mark behind one), at a line's end, and behind each full-width
+stop. A span is a run of several consecutive sentences, `min_sentences` or more, with `min_words` words or more. Passages are
+often set into running text, so that the words before them belong to their first sentence: a span may therefore begin at any
+capitalised word, and what stands of the sentence from there on is its first sentence. Spans are hashed and met over all
+documents; of the places where one stands, the first (smallest doc_id, then position) keeps it, and whatever any other place
+covers is removed.
 
-Sentences are cut at words that a hash picks, too. Whether a word ends a piece depends on itself, the AROUND words on either
-side and, where one of these may end a sentence, the word next to it: so copies of a passage are cut alike but for the few
-words at its ends, whatever stands around them. What stays of a repeat are the words before its first and after its last cut."""
+Only spans that can't be made shorter at their end, or at their begin, are hashed. That loses nothing: a longer span that
+repeats brings the shorter ones in it along, and these cover it. (From its begin runs a span that can't be shorter at its
+end, to its end one that can't be at its begin; a sentence that neither covers ends a span too short for `min_words` both
+from the begin to it and from it to the end, and then the first of these two goes beyond it.)
+
+Text without stops would be one sentence: sentences of more than `long` words are taken as several, too, cut behind each word
+whose hash is the least of AROUND words on either side. Such spans come in addition to those of whole sentences.
+
+Hashing is done on the characters' codes of many texts at once: white space between words counts as one space."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
-
-#: A word with the space that follows; it goes up to a stop, which ends a sentence, as does a line's end.
-TOKEN = re.compile(r"[^\s.!?。！？]*[.!?。！？]+\s*|[^\s.!?。！？]+\s*")
-STOPS = frozenset(".!?。！？")
-#: Passages are often set into running text: a capitalised word after a small one begins a sentence too.
-SMALL, CAPITAL = re.compile("[a-zß-öø-ÿа-яα-ω]"), re.compile("[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]")
-#: A word also ends a piece where its hash is the least of those of as many words before and after it.
-AROUND = 2
-_END, _SMALL, _CAPITAL = 1, 2, 4
-_RECORD = np.dtype([("hash", "u8", 2), ("chars", "u4"), ("marks", "u4")])
+from .common import mix, whole_text
+
+_SPACE, _STOP, _WIDE, _LINE, _CLOSING, _UPPER = 1, 2, 4, 8, 16, 32
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], "u8")
 _INVERSE = np.array([pow(int(p), -1, 1 << 64) for p in _PRIMES], "u8")
-SPANS = "uid long, t long, h1 long, h2 long, place long, late boolean"
-
-
-class Tokens:
-    """Records (hash, characters, marks) of words, kept in a bounded table."""
-
-    def __init__(self, most: int = 300_000):
-        self.known, self.most = {}, most
-
-    def records(self, text: str) -> np.ndarray:
-        """Of every word of the text; white space before the first one is left out."""
-        tokens = TOKEN.findall(text)
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        for t in set(tokens):
-            if t not in known:
-                bare = t.rstrip()
-                marks = _END * (bare[-1] in STOPS or "\n" in t) | _SMALL * bool(SMALL.match(t)) | _CAPITAL * bool(CAPITAL.match(t))
-                tail = len(t).to_bytes(4, "little") + marks.to_bytes(4, "little")
-                known[t] = xxhash.xxh3_128_digest(bare.lower().encode("utf-8", "surrogatepass")) + tail
-        return np.frombuffer(b"".join(map(known.__getitem__, tokens)), _RECORD)
-
-
-def cuts(records: np.ndarray) -> np.ndarray:
-    """The number of words up to the end of each piece."""
-    n = len(records)
-    if not n:
-        return np.zeros(0, "i8")
-    marks = records["marks"]
-    ends = marks & _END > 0
-    ends[:-1] |= (marks[:-1] & _SMALL > 0) & (marks[1:] & _CAPITAL > 0)
-    ends[-1] = True
-    keys = np.zeros(n + 2 * AROUND, "u8")  # a sentence's end, and the text's, is less than any word near it
-    keys[AROUND : n + AROUND] = np.where(ends, 0, (records["hash"][:, 0] >> np.uint64(1)) + np.uint64(1))
-    least = np.lib.stride_tricks.sliding_window_view(keys, 2 * AROUND + 1).min(axis=1)
-    return np.flatnonzero(keys[AROUND : n + AROUND] == least) + 1
-
-
-def _places(text: str, records: np.ndarray, ends: np.ndarray) -> list[int]:
-    """Where in the text the pieces end."""
-    if not len(ends):
-        return [len(text)] if text else []
-    return (len(text) - int(records["chars"].sum()) + np.cumsum(records["chars"], dtype="i8")[ends - 1]).tolist()
+_BEGIN = np.uint64(1) << np.uint64(40)
+LONG, AROUND = 20, 4
+SPANS = "uid long, t long, h1 long, h2 int, place long, late boolean"
+_KIND: list[np.ndarray] = []
+
+
+def _kinds() -> np.ndarray:
+    """What each code point is."""
+    if not _KIND:
+        kind = np.zeros(0x110000, "u1")
+        for c in map(chr, range(0x110000)):
+            kind[ord(c)] = _SPACE * c.isspace() | _UPPER * (c.isupper() or c.istitle())
+        for marks, bit in ((".!?…", _STOP), ("。！？", _WIDE), ("\n\r\v\f\x85  ", _LINE), ("\"')]}»”’", _CLOSING)):
+            kind[[ord(c) for c in marks]] |= bit
+        _KIND.append(kind)
+    return _KIND[0]
+
+
+class Layout:
+    """Words, sentences and spans of some texts. Words are numbered over all texts; so are sentences."""
+
+    def __init__(self, texts: list[str], long: int = LONG):
+        self.n_chars = np.fromiter(map(len, texts), "i8", len(texts))
+        self.base = np.cumsum(self.n_chars + 1) - self.n_chars - 1  # where each text begins
+        codes = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = _kinds()[codes]
+        dark = kind & _SPACE == 0
+        begin = dark.copy()
+        begin[1:] &= ~dark[:-1] | (kind[:-1] & _WIDE > 0) & (kind[1:] & (_WIDE | _STOP | _CLOSING) == 0)
+        self.starts = np.flatnonzero(begin)  # of words, in characters
+        n = len(self.starts)
+        if not n:
+            self.text = self.ends = self.cuts = self.begins = self.opens = self.starts
+            return
+        last = np.flatnonzero(dark & np.append(~dark[1:] | begin[1:], True))
+        closed = kind[last] & _CLOSING > 0
+        closed[closed] = kind[np.maximum(last[closed] - 1, self.starts[closed])] & (_STOP | _WIDE) > 0
+        lines = np.concatenate([[0], np.cumsum(kind & _LINE > 0)])
+        end = closed | (kind[last] & (_STOP | _WIDE) > 0) | (lines[np.append(self.starts[1:], len(codes))] > lines[last])
+        self.text = np.searchsorted(self.base, self.starts, "right") - 1  # of each word
+        self.ends = np.flatnonzero(end)  # last word of each sentence
+        second = np.minimum(self.starts + 1, len(codes) - 1)
+        capital = (kind[self.starts] & _UPPER > 0) & (kind[second] & _UPPER == 0)
+        opens = np.concatenate([[True], end[:-1]])
+        self.opens, self.begins = np.flatnonzero(opens), np.flatnonzero(capital | opens)  # words: first of a sentence, of a span
+        self.rank = np.concatenate([[0], np.cumsum(dark)])
+        x = codes[dark].astype("u8")
+        x[begin[dark]] += _BEGIN  # where words begin
+        x = mix(x)
+        self.last = last
+        of_long = np.repeat(lengths := np.diff(self.ends, prepend=-1), lengths) > long
+        self.cuts = self.ends
+        if of_long.any():  # words whose own hash is the least around
+            firsts = self.rank[self.starts]
+            keys = mix(np.add.reduceat(x * ((np.arange(len(x)) - np.repeat(firsts, np.diff(firsts, append=len(x)))).astype("u8") * _PRIMES[0] + np.uint64(1)), firsts))
+            least = np.lib.stride_tricks.sliding_window_view(np.pad(keys, AROUND, constant_values=np.iinfo("u8").max), 2 * AROUND + 1).min(axis=1)
+            self.cuts = np.flatnonzero(end | of_long & (keys == least))
+        powers, undo = _powers(len(x))
+        self.undo = undo
+        self.sums = np.zeros((2, len(x) + 1), "u8")
+        for k in range(2):
+            np.cumsum(x * powers[k, : len(x)], out=self.sums[k, 1:])
+
+    def spans(self, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, last word) of the spans to be hashed, without repeats."""
+        found = self._spans(self.begins, self.ends, min_sentences, min_words)
+        if len(self.cuts) > len(self.ends):
+            begins = np.union1d(self.begins, (self.cuts + 1)[:-1])
+            found = np.union1d(found, self._spans(begins, self.cuts, min_sentences, min_words))
+        return found >> 32, found & 0xFFFFFFFF
+
+    def _spans(self, begins: np.ndarray, ends: np.ndarray, min_sentences: int, min_words: int) -> np.ndarray:
+        if not len(ends):
+            return np.zeros(0, "i8")
+        sentence = np.searchsorted(ends, begins)  # of each begin
+        # from each begin: the least end
+        to = np.maximum(np.searchsorted(ends, begins + min_words - 1), sentence + min_sentences - 1)
+        good = to < len(ends)
+        good[good] = self.text[ends[to[good]]] == self.text[begins[good]]
+        forward = begins[good] << 32 | ends[to[good]]
+        # to each end: the last begin
+        k = np.arange(len(ends))
+        early = np.minimum(ends - min_words + 1, ends[np.maximum(k - min_sentences + 1, 0)])
+        back = np.searchsorted(begins, early, "right") - 1
+        fits = (k >= min_sentences - 1) & (early >= 0) & (back >= 0)
+        fits[fits] = self.text[begins[back[fits]]] == self.text[ends[fits]]
+        return np.unique(np.concatenate([forward, begins[back[fits]] << 32 | ends[fits]]))
+
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        """Twice 64 bits of the characters of these runs of words; where sentences end doesn't count."""
+        if not len(first):
+            return [np.zeros(0, "u8")] * 2
+        a, b = self.rank[self.starts[first]], self.rank[self.last[last]] + 1
+        return [mix((self.sums[k, b] - self.sums[k, a]) * self.undo[k, a]) for k in range(2)]
+
+    def places(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Where a span stands in its text: first character * 2^32 + where the next word begins or the text ends."""
+        text = self.text[last]
+        after = np.append(self.starts, np.iinfo("i8").max)[last + 1] if len(last) else last
+        return self.starts[first] - self.base[text] << 32 | np.minimum(after - self.base[text], self.n_chars[text])
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the primes and of their inverses, at least n of each."""
+    if not _POWERS or _POWERS[0].shape[1] < n:
+        _POWERS[:] = [np.cumprod(np.broadcast_to(x[:, None], (2, n + n // 4)), axis=1) for x in (_PRIMES, _INVERSE)]
+    return _POWERS[0], _POWERS[1]
 
 
 def sentences(text: str) -> list[str]:
-    """Pieces that make the text when put together again."""
-    records = Tokens().records(text)
-    places = _places(text, records, cuts(records))
-    return [text[a:b] for a, b in zip([0, *places], places)]
-
-
-def spans(counts: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first piece, last piece) of the spans of a text whose pieces have so many words."""
-    n = len(counts)
-    ends = np.cumsum(np.asarray(counts, "i8"))
-    if n < max(min_sentences, 1) or ends[-1] < min_words:
-        return np.zeros(0, "i8"), np.zeros(0, "i8")
-    starts = np.concatenate([[0], ends[:-1]])
-    k = np.arange(n)
-    last = np.maximum(np.searchsorted(ends, starts + min_words), k + min_sentences - 1)
-    first = np.minimum(np.searchsorted(starts, ends - min_words, "right") - 1, k - min_sentences + 1)
-    good, back = last < n, first >= 0
-    both = np.unique(np.concatenate([k[good] << 32 | last[good], first[back] << 32 | k[back]]))
-    return both >> 32, both & 0xFFFFFFFF
-
-
-def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """128-bit hashes, as two columns, of runs of words given by the words' hashes; where pieces end doesn't count."""
-    n = len(words)
-    powers = np.cumprod(np.broadcast_to(_PRIMES, (n, 2)), axis=0, dtype="u8")
-    undo = np.cumprod(np.broadcast_to(_INVERSE, (n, 2)), axis=0, dtype="u8")
-    sums = np.concatenate([np.zeros((1, 2), "u8"), np.cumsum(words * powers, axis=0, dtype="u8")])
-    x = (sums[ends] - sums[starts]) * undo[starts]
-    x = (x ^ (x >> np.uint64(32))) * _PRIMES
-    return x ^ (x >> np.uint64(29))
-
-
-def find_spans(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
-    """(uid, t, h1, h2, place, late) of every span of docs (uid, t, text); place is first sentence * 2^32 + last.
-
-    Late spans are known to stand at an earlier place as well. Theirs are hashes of the place, so that a common span's
+    """A text's sentences, each with the white space behind it."""
+    found = Layout([text])
+    begins = found.starts[found.opens].tolist()
+    return [text[a:b] for a, b in zip(begins, [*begins[1:], len(text)])]
+
+
+def find_spans(docs: DataFrame, min_sentences: int, min_words: int, long: int = LONG, together: int = 1 << 19) -> DataFrame:
+    """(uid, t, h1, h2, place, late) of every span of docs (uid, t, text); see Layout.place.
+
+    Late spans are known to stand at an earlier place as well. Theirs are hashes of the document, so that a common span's
     rows do not meet in one task."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
         for batch in batches:
-            parts, size = [], 0
-            for uid, t, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                records = tokens.records(text)
-                ends = cuts(records)
-                starts = np.concatenate([[0], ends[:-1]]).astype("i8")
-                a, b = spans(ends - starts if len(ends) else ends, min_sentences, min_words)
-                if len(a):
-                    h = run_hashes(records["hash"], starts[a], ends[b])
-                    parts.append((np.full(len(a), uid), np.full(len(a), t), h[:, 0].view("i8"), h[:, 1].view("i8"), a << 32 | b))
-                    size += len(a)
-                if size > 50_000:
-                    yield _rows(parts)
-                    parts, size = [], 0
-            if parts:
-                yield _rows(parts)
+            some, rows, size = [], [], 0
+            for k in range(batch.num_rows):
+                some.append(batch.column(2)[k].as_py())
+                rows.append(k)
+                size += len(some[-1])
+                if size > together or k == batch.num_rows - 1:
+                    found = Layout(some, long)
+                    first, last = found.spans(min_sentences, min_words)
+                    if len(first):
+                        of = found.text[last] + rows[0]
+                        h1, h2 = found.hashes(first, last)
+                        uid, t = (batch.column(c).to_numpy(zero_copy_only=False)[of] for c in range(2))
+                        yield _rows(uid, t, h1.view("i8"), h2.astype("u4").view("i4"), found.places(first, last))
+                    some, rows, size = [], [], 0
 
     return docs.select("uid", "t", "text").mapInArrow(find, SPANS)
 
 
-def _rows(parts: list[tuple]) -> pa.RecordBatch:
-    uid, t, h1, h2, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+def _rows(uid: np.ndarray, t: np.ndarray, h1: np.ndarray, h2: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     late = np.zeros(len(uid), bool)
     order = np.argsort(h1, kind="stable")
     same = h1[order[1:]] == h1[order[:-1]]
@@ -151,45 +187,47 @@ def _rows(parts: list[tuple]) -> pa.RecordBatch:
         new = np.concatenate([[True], (h1[on[1:]] != h1[on[:-1]]) | (h2[on[1:]] != h2[on[:-1]])])
         first = on[np.flatnonzero(new)[np.cumsum(new) - 1]]
         late[on] = (uid[on] != uid[first]) | (t[on] != t[first]) | (place[on] != place[first])
-        mixed = (uid.view("u8") * _PRIMES[0] ^ place.view("u8") * _PRIMES[1]).view("i8")
-        h1 = np.where(late, h1 ^ mixed, h1)
+        h1, h2 = np.where(late, mix(uid.view("u8") ^ t.view("u8")).view("i8"), h1), np.where(late, 0, h2).astype("i4")
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (uid, t, h1, h2, place, late)], ["uid", "t", "h1", "h2", "place", "late"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 1, min_words: int = 20) -> DataFrame:
-    """All columns of docs, text_col without repeated spans, and n_sentences and n_removed of each text.
-
-    Texts without a repeated span come back as they are. A null text counts as an empty one (and stays null). Rows with
-    equal id and text are one document and get the same text; ids may be null (these come first). Copies of a whole
-    document keep the first one's text only. An empty table gives none; columns named n_sentences or n_removed in docs
-    are replaced."""
-    names = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    keyed = docs.select(*(F.col(f"`{c}`") for c in names)).withColumns({"__uid": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "__t": F.xxhash64(whole_text(text_col))})
-    found = find_spans(keyed.select(F.col("__uid").alias("uid"), F.col("__t").alias("t"), whole_text(text_col).alias("text")), min_sentences, min_words)
+def cut(text: str, places: list[int]) -> tuple[str, int]:
+    """The text without the stretches of these places, and how many characters go."""
+    kept, at = [], 0
+    for p in sorted(places):
+        low, high = p >> 32, p & 0xFFFFFFFF
+        if low > at:
+            kept.append(text[at:low])
+        at = max(at, high)
+    out = "".join([*kept, text[at:]])
+    return out, len(text) - len(out)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 30, long: int = LONG, count: str | None = "n_removed") -> DataFrame:
+    """All columns of docs, text_col without repeated spans, and n_removed (or another name, or none), the characters that
+    went.
+
+    Texts without a repeated span come back as they are, and don't leave the JVM again. A null text counts as an empty one
+    (and stays null). Rows with equal id and text are one document and get the same text; ids may be null (these come
+    first). Copies of a whole document keep the first one's text only. An empty table gives none; a column of the count's
+    name in docs is replaced, any other name may occur."""
+    names = [c for c in docs.columns if c != count]
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    text = whole_text(f"row.`{text_col}`")
+    keyed = packed.withColumns({"uid": F.coalesce(F.col(f"row.`{id_col}`").cast("long"), F.lit(-(1 << 63))), "t": F.xxhash64(text)})
+    found = find_spans(keyed.select("uid", "t", text.alias("text")), min_sentences, min_words, long)
     order = Window.partitionBy("h1", "h2").orderBy("uid", "t", "place")  # rows of one document tie at its first place
     later = found.withColumn("rank", F.rank().over(order)).where("late or rank > 1")
-    later = later.groupBy("uid", "t").agg(F.collect_set("place").alias("places"))  # at most two a sentence of one text
-    later = later.select(F.col("uid").alias("__uid"), F.col("t").alias("__t"), F.col("places").alias("__places"))
-    joined = keyed.join(later, ["__uid", "__t"], "left").select(*(F.col(f"`{c}`") for c in names), "__places")
-    schema = ", ".join(f"`{c}` {'string' if c == text_col else k}" for c, k in joined.dtypes if c != "__places") + ", n_sentences long, n_removed long"
-    at = names.index(text_col)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
-        for batch in batches:
-            texts, total, gone = [], [], []
-            for text, places in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                records = tokens.records(text or "")
-                ends = _places(text or "", records, cuts(records))
-                kept = [True] * len(ends)
-                for p in places or ():
-                    for k in range(p >> 32, (p & 0xFFFFFFFF) + 1):
-                        kept[k] = False
-                texts.append("".join(text[a:b] for a, b, k in zip([0, *ends], ends, kept) if k) if places else text)
-                total.append(len(ends))
-                gone.append(kept.count(False))
-            columns = [batch.column(k) for k in range(len(names))]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_sentences", "n_removed"])
-
-    return joined.mapInArrow(cut, schema)
+    later = later.groupBy("uid", "t").agg(F.collect_set("place").alias("places"))  # a few a sentence of one text
+
+    @F.pandas_udf("text string, n long")
+    def without(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+        done = [(None, 0) if p is None else cut(t, p.tolist()) for t, p in zip(texts, places, strict=True)]
+        return pd.DataFrame(done, columns=["text", "n"])
+
+    # only texts that lose something go to Python
+    joined = keyed.join(later, ["uid", "t"], "left").select("row", "places")
+    done = joined.withColumn("done", without(F.when(F.col("places").isNotNull(), text), "places"))
+    new = F.when(F.col("places").isNotNull(), F.col("done.text")).otherwise(F.col(f"row.`{text_col}`").cast("string"))
+    counted = [] if count is None else [F.coalesce("done.n", F.lit(0)).cast("long").alias(count)]
+    return done.select(*(new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names), *counted)

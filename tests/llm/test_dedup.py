@@ -9,10 +9,10 @@ import pytest
 
 from corpus_pipeline import near_dedup
 from quernstone.llm.common import text_key, whole_text
-from quernstone.llm.decontaminate import WALKS, Items, best_match, cgk, decontaminated, edits_allowed, leaks, samples
+from quernstone.llm.decontaminate import Items, all_samples, best_match, decontaminated, edits_allowed, leaks
 from quernstone.llm.minhash import Words, bag_minhash, near_duplicates, shingles, similar
 from quernstone.llm.neardup_vectors import near_vectors
-from quernstone.llm.substring import find_spans, remove_repeats, sentences, spans
+from quernstone.llm.substring import find_spans, remove_repeats, sentences
 
 DOCS = "doc_id long, text string, uid long, v long, band string, kept string, item_id long"
 
@@ -136,24 +136,46 @@ def test_similar_at_the_border():
 # substring dedup
 
 
+def words_of(text):
+    """(first character, end, whether it ends a sentence, whether a span may begin there) of each word, by a plain scan."""
+    out, k = [], 0
+    while k < len(text):
+        if text[k].isspace():
+            k += 1
+            continue
+        e = k
+        while e < len(text) and not text[e].isspace() and not (e > k and text[e - 1] in "。！？" and text[e] not in "。！？.!?…\"')]}»”’"):
+            e += 1
+        w, gap = text[k:e], text[e : e + len(text[e:]) - len(text[e:].lstrip())]
+        stop = w[-1] in ".!?…。！？" or len(w) > 1 and w[-1] in "\"')]}»”’" and w[-2] in ".!?…。！？"
+        ends = stop or "\n" in gap or e == len(text) or not text[e:].strip()
+        out.append((k, e, ends, not out or out[-1][2] or w[0].isupper() and not w[1:2].isupper()))
+        k = e
+    return out
+
+
 def brute_repeats(texts, least, words):
-    seen, gone = {}, [set() for _ in texts]
-    runs = []
+    """Every run of so many sentences and words or more, from every word where one may begin."""
+    seen, gone, runs = {}, [set() for _ in texts], []
     for d, t in enumerate(texts):
-        s = [" ".join(x.lower().split()) for x in sentences(t or "")]
-        n = [len(x.split()) for x in s]
-        found = set()
-        for i in range(len(s)):
-            j = next((j for j in range(i + least - 1, len(s)) if sum(n[i : j + 1]) >= words), None)
-            found |= {(i, j)} if j is not None else set()
-            h = next((h for h in range(i - least + 1, -1, -1) if sum(n[h : i + 1]) >= words), None)
-            found |= {(h, i)} if h is not None else set()
-        runs += [(d, i, j, tuple(s[i : j + 1])) for i, j in sorted(found)]
+        w = words_of(t or "")
+        for i in range(len(w)):
+            if w[i][3]:
+                count = 0
+                for j in range(i, len(w)):
+                    count += w[j][2]
+                    if w[j][2] and count >= least and j - i + 1 >= words:
+                        runs.append((d, i, j, tuple(t[a:b] for a, b, *_ in w[i : j + 1])))
     for d, i, j, key in runs:
         if key in seen:
             gone[d] |= set(range(i, j + 1))
         seen.setdefault(key, (d, i, j))
-    return ["".join(x for k, x in enumerate(sentences(t)) if k not in g) if g else t for t, g in zip(texts, gone, strict=True)]
+    out = []
+    for t, g in zip(texts, gone, strict=True):
+        w = words_of(t or "")
+        ends = [x[0] for x in w[1:]] + [len(t or "")]
+        out.append(t if not g else t[: w[0][0]] + "".join(t[w[k][0] : ends[k]] for k in range(len(w)) if k not in g))
+    return out
 
 
 def text_of(rng, n):
@@ -171,19 +193,19 @@ def test_remove_repeats(spark):
         if k % 9 == 0:
             parts += [passage[0], passage[0].lower()]
         texts.append(" ".join(parts))
-    texts += [texts[0], texts[1], None, "", "Of. The. Of. The. Of.", "Of. The. Of. The.", "a. " * 3000]
-    for least, words in ((1, 20), (2, 20), (3, 8)):
-        rows = {r.doc_id: r for r in remove_repeats(docs_of(spark, texts), min_sentences=least, min_words=words).collect()}
+    texts += ["in running " + passage[1], passage[1].replace(". ", ".\n  "), "日本語。 " + "あ。" * 9 + "い！う", "“Ab cd.” (Ef gh!) " * 4 + "IJ kl", "\n" + passage[2] + "\n"]
+    texts += [texts[0], texts[1], None, "", " ", "Of. The. Of. The. Of.", "Of. The. Of. The.", "a. " * 300]
+    for least, words in ((1, 14), (2, 20), (3, 8)):
+        rows = {r.doc_id: r for r in remove_repeats(docs_of(spark, texts), min_sentences=least, min_words=words, long=1 << 40).collect()}
         want = brute_repeats(texts, least, words)
         for k, t in enumerate(texts):
             assert rows[k].text == want[k], k
-            assert (rows[k].n_removed > 0) == (want[k] != t) and rows[k].band == "b" and rows[k].kept is None
+            assert rows[k].n_removed == len(t or "") - len(want[k] or "") and rows[k].band == "b" and rows[k].kept is None
     first = next(k for k in range(60) if texts[k].count(passage[1]))
-    holders = [k for k in range(60) if passage[1] in texts[k] and k != first]
+    holders = [k for k in range(65) if passage[1] in texts[k] and k != first]
     got = {r.doc_id: r.text for r in remove_repeats(docs_of(spark, texts)).collect()}
     assert passage[1] in got[first]
-    kept = [sum(s in got[k] for s in sentences(passage[1])[1:]) for k in holders]
-    assert holders and not any(kept)
+    assert holders and not any(s in got[k] for k in holders for s in sentences(passage[1])) and got[60] == "in running "
     # texts without a repeat are as they were
     assert all(got[k] == texts[k] for k in range(0, 60, 2) if k % 9)
 
@@ -191,9 +213,17 @@ def test_remove_repeats(spark):
 def test_remove_repeats_of_odd_rows(spark):
     assert remove_repeats(docs_of(spark, []).limit(0)).collect() == []
     t = text_of(random.Random(4), 12)
-    rows = remove_repeats(docs_of(spark, [(None, t), (3, t), (3, t), (4, t)])).collect()
-    assert sorted((r.doc_id or -1, r.text) for r in rows) == [(-1, t), (3, ""), (3, ""), (4, "")]
-    assert "".join(sentences(t)) == t and spans([], 1, 20)[0].size == 0
+    docs = docs_of(spark, [(None, t), (3, t), (3, t), (4, t), (3, None)])
+    rows = remove_repeats(docs).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in rows) == [(-1, t), (3, ""), (3, ""), (3, ""), (4, "")] and sum(r.text is None for r in rows) == 1
+    clashing = docs.selectExpr("doc_id", "text", "1 as n_removed", "2 as row", "3 as places", "4 as t", "5 as h1", "'x' as done", "6 as `a b`")
+    rows = remove_repeats(clashing).collect()
+    assert rows[0].asDict().keys() == {"doc_id", "text", "n_removed", "row", "places", "t", "h1", "done", "a b"}
+    assert sorted(r.n_removed for r in rows) == [0, 0, len(t), len(t), len(t)] and {(r.row, r.places, r.t, r.h1, r.done, r["a b"]) for r in rows} == {(2, 3, 4, 5, "x", 6)}
+    long = " ".join(text_of(random.Random(5), 20_000).split(" "))
+    got = {r.doc_id: r.text for r in remove_repeats(docs_of(spark, [long, "x. " + long, " " * 300_000])).collect()}
+    assert got[0] == long and got[1] == "x. " and got[2] == " " * 300_000
+    assert "".join(sentences(t)) == t
 
 
 def repeated_runs(texts, least):
@@ -234,6 +264,7 @@ def test_repeated_runs_go_whatever_stands_around(spark):
         head = next((k for k in range(b - a) if stay[a + k : a + k + 1] != [w[a + k]]), b - a)
         assert stay == w[: a + head] + w[len(w) - (len(stay) - a - head) :]  # one gap, and nothing else goes
         left.append(b - a - (len(w) - len(stay)))
+    # what stays: the words before the first and after the last place where a sentence, or a piece of a long one, ends
     assert max(left) < 25 and sum(left) / len(left) < 10, (max(left), sum(left) / len(left))
     assert all(got[k] == texts[k] for k in range(60))
 
@@ -243,7 +274,7 @@ def test_common_spans_do_not_meet(spark):
     line = text_of(rng, 8)
     texts = [line + " " + text_of(rng, 3) for _ in range(300)]
     docs = docs_of(spark, texts).selectExpr("doc_id as uid", "doc_id as t", "text")
-    assert max(r["count"] for r in find_spans(docs, 1, 20).groupBy("h1", "h2").count().collect()) <= docs.rdd.getNumPartitions()
+    assert max(r["count"] for r in find_spans(docs, 2, 20).groupBy("h1", "h2").count().collect()) <= docs.rdd.getNumPartitions()
     got = {r.doc_id: r.text for r in remove_repeats(docs_of(spark, texts)).collect()}
     assert got[0] == texts[0] and not any(line[:-20] in got[k] for k in range(1, 300))
 
@@ -297,10 +328,10 @@ def test_cgk_keeps_small_distances_small():
         other = np.array(edited(rng, item.tolist(), 4)[:40], dtype=object)
         other = np.array([x if isinstance(x, int) else words.hashes(x)[0] for x in other] + [0] * (40 - len(other)), "u8")
         far = words.hashes(" ".join(prose(rng, 40)))
-        met = lambda x: any((samples(cgk(x[None], w), w) == samples(cgk(item[None], w), w)).any() for w in range(WALKS))
+        met = lambda x: (all_samples(x[None], np.array([40])) == all_samples(item[None], np.array([40]))).any()
         hit, near = hit + met(other), near + met(far)
     assert hit >= 199 and near < 20
-    assert best_match(item[:5], item) == (0, 5) and Items([(1, None)]).find(item) == []
+    assert best_match(item[:5], item) == (0, 5) and Items([(1, None)]).find([item]) == [[]]
 
 
 # vectors
