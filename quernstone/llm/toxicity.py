@@ -3,8 +3,12 @@
 The kernel of two words sums, over character triples that stand in both in order (gaps allowed, up to SPAN characters
 in all, with word ends as characters), DECAY to the power of both spans; so `stuxpid` still shares most triples with
 `stupid`. The Nyström map of a word is its kernel to the landmarks times the inverse root of their kernel matrix. A
-sentence is as toxic as its worst word and a text as its worst sentence: the machine is trained on the words of
-labelled sentences, with a squared hinge loss.
+sentence is as toxic as its worst word and a text as its worst sentence.
+
+The machine is a multi-instance one, trained on the sentences of labelled texts with a squared hinge loss: no word of a clean
+sentence may have a positive margin, and some word of some sentence of a toxic text must. Which one is latent: the machine's
+own choice, made anew in each round, stands for it in the next; the first round begins with the words that stand in toxic
+texts far more often than chance has it.
 
 A linear function of the Nyström map is a weight for every triple of the landmarks, so scoring looks triples up in a
 table. The score is the margin's logistic calibration on labelled texts that the machine wasn't fitted to."""
@@ -20,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import whole_text
 
@@ -102,7 +107,7 @@ class Machine:
             out[lo : lo + step] = np.bincount(number, self.table[hashes] * weights, len(some))
         return out + self.bias
 
-    def margins(self, texts: list[str], most: int = 300_000) -> np.ndarray:
+    def margins(self, texts: list[str], most: int = 200_000) -> np.ndarray:
         """The worst word's margin of each text; -2 without words."""
         split = [set(chunks(t)) for t in texts]
         new = list({c for x in split for c in x if c not in self.known})
@@ -131,11 +136,11 @@ def _restored(on: np.ndarray, values: np.ndarray, bias: float, slope: float, shi
 def _kernel(words: list[str], landmarks: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Words by landmarks; place: the column of each triple in landmarks, -1 for others."""
     out = []
-    for lo in range(0, len(words), 1000):
-        number, hashes, weights = triples(words[lo : lo + 1000])
+    for lo in range(0, len(words), 200):
+        number, hashes, weights = triples(words[lo : lo + 200])
         column = place[hashes]
         on = column >= 0
-        n = min(1000, len(words) - lo)
+        n = min(200, len(words) - lo)
         dense = np.bincount(number[on] * landmarks.shape[1] + column[on], weights[on], n * landmarks.shape[1]).reshape(n, -1)
         out.append(dense @ landmarks.T)
     return np.concatenate(out) if out else np.zeros((0, len(landmarks)))
@@ -158,25 +163,37 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
     return w
 
 
-def fit(texts: list[str], toxic: list[int], landmarks: int = 512, rounds: int = 2, calibrate: int = 4) -> Machine | None:
-    """Fit on labelled texts; every calibrate-th of them only calibrates. None without texts of both labels.
+def nystroem(marks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(triples of the landmarks, each triple's column, landmarks by columns, inverse root of the kernel matrix)."""
+    number, hashes, weights = triples(marks)
+    seen = np.unique(hashes)
+    place = np.full(TABLE, -1)
+    place[seen] = np.arange(len(seen))
+    z = np.bincount(number * len(seen) + place[hashes], weights, len(marks) * len(seen)).reshape(len(marks), -1)
+    values, vectors = np.linalg.eigh(z @ z.T)
+    root = vectors @ np.diag(np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0)) @ vectors.T
+    return seen, place, z, root
 
-    Which words of a toxic text make it so is latent; the positive ones are those that stand in toxic texts far more
-    often than chance has it, and the kernel carries them over to words like them. Clean words that come nearest to the
-    border join the negative ones and the landmarks, so that they can be told apart."""
 
-    def words_of(text: str) -> set[str]:
-        return {w for s in SENTENCE.split(text) for c in chunks(s) for w in forms(c)}
+def fit(texts: list[str], toxic: list[int], landmarks: int = 512, rounds: int = 3, calibrate: int = 4) -> Machine | None:
+    """Fit on labelled texts; every calibrate-th of them only calibrates. None without texts of both labels.
 
+    Of copies, one counts. Clean words that come nearest to the border join the negative ones and the landmarks in each
+    round, so that they can be told apart."""
     own = [k for k in range(len(texts)) if k % calibrate != calibrate - 1]
-    bags = {k: words_of(texts[k]) for k in own}
-    bad, good = [k for k in own if toxic[k] and bags[k]], [k for k in own if not toxic[k] and bags[k]]
+    family, one = _families({k: texts[k] for k in own}), {}
+    sentences, bags = {}, ({}, {})  # of a copy of each family: its sentences where toxic; all copies' words by label
+    for k in own:
+        found = [w for s in SENTENCE.split(texts[k]) if (w := {one.setdefault(f, f) for c in chunks(s) for f in forms(c)})]
+        if found:
+            bags[toxic[k]].setdefault(family[k], set()).update(*found)
+            if toxic[k]:
+                sentences.setdefault(family[k], found)
+    good, bad = bags
     if not bad or not good:
         return None
-    family = _families({k: texts[k] for k in bags})
-    count = lambda some: Counter(w for w, _ in {(w, family[k]) for k in some for w in bags[k]})
-    in_bad, in_good = count(bad), count(good)
-    bad, good = ({family[k] for k in some} for some in (bad, good))
+    in_good, in_bad = (Counter(w for bag in some.values() for w in bag) for some in bags)
+    one_each = list(sentences.values())
     share = len(bad) / (len(bad) + len(good))
     # evidence: the log likelihood ratio of the word's own share of toxic texts against that of all texts
     odds = {w: _ratio(n, n + in_good[w], share) for w, n in in_bad.items()}
@@ -186,29 +203,28 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 512, rounds: int =
     clean = ranking(in_good, in_good.__getitem__)
     rare = [clean[k] for k in sorted(rng.permutation(len(clean))[:3000])]
     marks = list(dict.fromkeys([*ranking(telling, odds.__getitem__)[: landmarks // 2], *clean[: landmarks // 8], *rare[: landmarks // 8]]))
-    negative = [w for w in dict.fromkeys([*clean[:1500], *rare]) if w not in telling]
-    positive = {w: in_bad[w] for w in sorted(telling)}
+    negative = list(dict.fromkeys([*clean[:1500], *rare]))
+    witnesses = {w: in_bad[w] for w in sorted(telling)}
     machine = None
     for _ in range(rounds):
         if machine is not None:
-            some = sorted(set(in_good) - telling)
+            found = Counter()
+            for sentence in (_worst(x, machine) for x in one_each):
+                found.update(sentence)
+            witnesses = dict(sorted(found.items())) or witnesses
+            some = sorted(set(in_good) - witnesses.keys())
             margin = dict(zip(some, machine.words(some).tolist(), strict=True))
             near = ranking(some, margin.__getitem__)[:500]
             negative = list(dict.fromkeys([*negative, *near]))
             marks = list(dict.fromkeys([*marks, *near[: landmarks // 8]]))
-        number, hashes, weights = triples(marks)
-        seen = np.unique(hashes)
-        place = np.full(TABLE, -1)
-        place[seen] = np.arange(len(seen))
-        z = np.bincount(number * len(seen) + place[hashes], weights, len(marks) * len(seen)).reshape(len(marks), -1)
-        values, vectors = np.linalg.eigh(z @ z.T)
-        root = vectors @ np.diag(np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0)) @ vectors.T
-        x = _kernel([*positive, *negative], z, place) @ root
-        y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        weight = np.array([float(min(n, 20)) for n in positive.values()] + [float(min(in_good[w], 20)) for w in negative])
+        seen, place, z, root = nystroem(marks)
+        negative = [w for w in negative if w not in witnesses]
+        x = _kernel([*witnesses, *negative], z, place) @ root
+        y = np.array([1.0] * len(witnesses) + [-1.0] * len(negative))
+        weight = np.array([float(min(n, 20)) for n in witnesses.values()] + [float(min(in_good[w], 20)) for w in negative])
         # the two labels weigh the same
-        weight[: len(positive)] /= weight[: len(positive)].sum()
-        weight[len(positive) :] /= weight[len(positive) :].sum()
+        weight[: len(witnesses)] /= weight[: len(witnesses)].sum()
+        weight[len(witnesses) :] /= weight[len(witnesses) :].sum()
         w = _squared_hinge(x, y, weight)
         table = np.zeros(TABLE)
         table[seen] = z.T @ (root @ w[:-1])
@@ -219,6 +235,14 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 512, rounds: int =
     return machine
 
 
+def _worst(sentences: list[set[str]], machine: Machine) -> list[str]:
+    """The word with the largest margin in a toxic text's sentences, if that is positive."""
+    words = sorted(set().union(*sentences))
+    margins = machine.words(words)
+    k = int(margins.argmax())
+    return [words[k]] if margins[k] > 0 else []
+
+
 def _ratio(part: int, total: int, share: float) -> float:
     own = part / total
     if own <= share:
@@ -272,8 +296,9 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = 1600) -> Machine | None:
-    """Fit on at most per_label rows of each label that aren't held out, chosen by a hash of their ids."""
+def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = 4000, most: int = 1 << 16) -> Machine | None:
+    """Fit on at most per_label rows of each label that aren't held out, chosen by a hash of their ids; of these, texts of
+    more than `most` bytes are left out, which bounds what comes to the driver."""
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
     some = None
@@ -281,6 +306,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = 1600) -> Machine
         part = rows.where(F.col("toxic") == value).orderBy(order, "doc_id").limit(per_label)
         some = part if some is None else some.unionByName(part)
     found = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(some), "doc_id")  # at most 2 * per_label rows
+    found = found.where(F.octet_length("text") <= most)
     sample = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic").collect()
     sample = sorted(sample, key=lambda r: (r.doc_id * 2654435761 % (1 << 32), r.doc_id))
     return fit([r.text for r in sample], [r.toxic for r in sample])
@@ -289,24 +315,43 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = 1600) -> Machine
 def score(docs: DataFrame, machine: Machine | None, text_col: str = "text", out: str = "score", step: int = 128) -> DataFrame:
     """docs with a score from 0 to 1 of each whole text. A null text counts as an empty one; an unfitted machine gives 0
     to all; a column of the score's name is replaced; all other columns, null or not, pass through."""
-    names = [c for c in docs.columns if c != out]
-    rows = docs.select(*(F.col(f"`{c}`") for c in names), whole_text(text_col).alias("__whole"))
-    schema = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes if c != "__whole") + f", `{out}` double"
+    rows = docs.drop(out).withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    names = rows.columns
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # a few thousand weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            texts, found = batch.column(len(names)), []
             for lo in range(0, batch.num_rows, step):
-                part = texts.slice(lo, step).to_pylist()
-                found.append(np.zeros(len(part)) if own is None else own.scores(part))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(found) if found else [], pa.float64())], [*names, out])
+                part = batch.slice(lo, step)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_scores(own, part.column(names.index(text_col))), pa.float64())], [*names, out])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, DoubleType())]))
+
+
+def _scores(machine: Machine | None, texts: pa.Array) -> np.ndarray:
+    return np.zeros(len(texts)) if machine is None else machine.scores([t or "" for t in texts.to_pylist()])
+
+
+def below(docs: DataFrame, machine: Machine | None, threshold: float, text_col: str = "text", step: int = 128) -> DataFrame:
+    """The rows of docs whose text scores less than the threshold, with all their columns, null or not, as they are. A null
+    text counts as an empty one; an unfitted machine keeps all."""
+    at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                yield part.filter(pa.array(_scores(own, part.column(at)) < threshold))
 
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted (1 if score >= threshold)."""
+    """Per document: doc_id, held_out, score, predicted (1 if score >= threshold).
+
+    Null texts and ids, repeated rows and empty tables: as in score and held_out; a label whose document or value is null
+    teaches nothing; without labels of both kinds every score is 0. Other columns are ignored."""
     scored = score(docs.select("doc_id", "text"), fit_on(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -20,7 +20,7 @@ from quernstone.llm.htmltext import Labeller, blocks, extract, main_texts
 from quernstone.llm.htmltrain import accuracy
 from quernstone.llm.minhash import Words, shingles, similar
 from quernstone.llm.tokens import load
-from quernstone.llm.toxicity import Machine, fit, score, toxicity_scores
+from quernstone.llm.toxicity import DECAY, SPAN, Machine, below, fit, nystroem, score, toxicity_scores, triples
 
 PAGES = "page_id long, url string, html string, payload string, kind int, hex string, text string"
 
@@ -134,6 +134,42 @@ def test_machine_on_held_out_texts():
     assert ((0 <= machine.scores(["", "x" * 5000, "🙂"])) & (machine.scores(["", "x" * 5000, "🙂"]) <= 1)).all()
 
 
+def subsequence_kernel(a, b):
+    """Over triples of characters in order, with gaps, by plain enumeration; normalised."""
+
+    def feature(w):
+        w, out = f"\x02{w}\x03", {}
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, min(len(w), i + SPAN)):
+                    key = (w[i], w[j], w[k])
+                    out[key] = out.get(key, []) + [DECAY ** (k - i + 1)]
+        return out
+
+    x, y = feature(a), feature(b)
+    norm = lambda f: sum(v * v for vs in f.values() for v in vs) ** 0.5
+    return sum(sum(x[k]) * sum(y[k]) for k in x.keys() & y.keys()) / norm(x) / norm(y)
+
+
+def test_kernel_and_nystroem_map_equal_brute_force():
+    words = ["stupid", "stuxpid", "s", "clown", "clowns", "banana", "ab", "日本語", "aaaaaaa"]
+    number, hashes, weights = triples(words)
+    dense = np.zeros((len(words), 1 << 21), "f4")
+    np.add.at(dense, (number, hashes), weights)
+    brute = np.array([[subsequence_kernel(a, b) for b in words] for a in words])
+    assert np.abs(dense @ dense.T - brute).max() < 1e-5 and brute[0, 1] > 0.3 > brute[0, 3]
+    # inner products of maps are the kernel between landmarks, and its projection for other words
+    _, place, z, root = nystroem(words[:6])
+    kernel = np.array([[subsequence_kernel(a, b) for b in words[:6]] for a in words])
+    maps = kernel @ root
+    assert np.abs(maps[:6] @ maps[:6].T - brute[:6, :6]).max() < 1e-5
+    assert np.abs(z @ z.T - brute[:6, :6]).max() < 1e-5
+    w = np.random.default_rng(1).standard_normal(6)
+    table = np.zeros(1 << 21)
+    table[np.flatnonzero(place >= 0)] = z.T @ (root @ w)
+    assert np.abs(Machine(table, 0.5, 1.0, 0.0).words(words) - (maps @ w + 0.5)).max() < 1e-5
+
+
 def test_toxicity_scores(spark):
     texts = labelled_texts(600, 3)
     docs = spark.createDataFrame([(k, t, "l", 0, 1.0) for k, (t, _) in enumerate(texts)] + [(None, None, "l", 0, 1.0), (999, "", "l", 0, 1.0)], "doc_id long, text string, lang string, toxic int, score double").repartition(3)
@@ -152,6 +188,9 @@ def test_toxicity_scores(spark):
     assert {r.score for r in toxicity_scores(docs, labels.limit(0)).collect()} == {0.0}
     scored = score(docs, Machine(np.zeros(1 << 21), -1.0, 1.0, 0.0))
     assert scored.columns == ["doc_id", "text", "lang", "toxic", "score"] and scored.where("score > 0.5").isEmpty()
+    assert scored.where("text is null").count() == 1
+    low = Machine(np.zeros(1 << 21), 0.0, 1.0, 0.0)  # texts with words score 0.5, those without less
+    assert sorted(r.doc_id or -1 for r in below(docs, low, 0.4).collect()) == [-1, 999] and below(docs, None, 0.4).columns == docs.columns
 
 
 # pipeline
