@@ -4,8 +4,8 @@ On unit vectors a cosine of at least c is a distance of at most r = sqrt(2 - 2c)
 pivots; each vector's home is the cell of its nearest pivot, and it is also sent to every cell of a smaller number whose
 border is within r: a partner there lies on the other side of the border, so by the triangle inequality it can be no
 nearer. Each pair thus meets in one cell, the smaller of its two homes. Large cells are dealt out in tiles of two blocks.
-In a tile, blocks of rows ordered by their distance to the pivot are compared only where these distances differ by at
-most r. Tiles hand on counts and a spanning forest of the links, never the pairs."""
+In a tile, the vectors at home in the cell are compared with all, in blocks of rows ordered by their distance to one vector
+and only where these distances differ by at most r. Tiles hand on counts and a spanning forest of the links, never the pairs."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import components, forest, stored
 
+#: Above it, choosing a cell costs a vector more than its comparisons; larger cells are tiled.
+MOST_PIVOTS = 1024
 FOUND = "uid long, links long, root long"
 
 
@@ -57,25 +59,24 @@ def _tile(threshold: float, radius: float, rows: int = 1024):
         uid, n, home, block = (pdf[c].to_numpy() for c in ("uid", "n", "home", "block"))
         crossed = pdf["low"].iloc[0] != pdf["high"].iloc[0]
         count, us, vs = np.zeros(len(x), "i8"), [], []
-        for a in range(0, len(x), rows):
-            top = far[min(a + rows, len(x)) - 1] + radius + 1e-7
-            for b in range(a, len(x), rows):
-                if far[b] > top:
-                    break
-                p, q = slice(a, a + rows), slice(b, b + rows)
+        # a pair has a vector whose home this cell is: those against all, two such vectors in one order only
+        homes = np.flatnonzero(home)
+        for a in range(0, len(homes), rows):
+            p = homes[a : a + rows]
+            low, high = np.searchsorted(far, [far[p[0]] - radius - 1e-7, far[p[-1]] + radius + 1e-7])
+            for b in range(low, high, rows):
+                q = slice(b, min(b + rows, high))
                 cosine = x[p] @ x[q].T
                 hit = cosine >= threshold
                 for i, j in np.argwhere(np.abs(cosine - threshold) < 1e-12):
-                    hit[i, j] = _cosine(pdf.embedding.iloc[a + i], pdf.embedding.iloc[b + j]) >= threshold
-                hit &= home[p][:, None] | home[q][None]
+                    hit[i, j] = _cosine(pdf.embedding.iloc[p[i]], pdf.embedding.iloc[b + j]) >= threshold
+                hit &= ~home[q][None] | (np.arange(q.start, q.stop) > p[:, None])
                 if crossed:
                     hit &= block[p][:, None] != block[q][None]
-                if a == b:
-                    hit &= np.triu(np.ones(hit.shape, bool), 1)
                 if hit.any():
                     count[p] += hit @ n[q]
                     count[q] += n[p] @ hit
-                    for own, root in zip((uid[p], uid[q]), _roots(hit, uid[p], uid[q], a == b), strict=True):
+                    for own, root in zip((uid[p], uid[q]), _roots(hit, uid[p], uid[q]), strict=True):
                         us += own[own != root].tolist()
                         vs += root[own != root].tolist()
         on = count > 0
@@ -85,14 +86,12 @@ def _tile(threshold: float, radius: float, rows: int = 1024):
     return links
 
 
-def _roots(hit: np.ndarray, rows: np.ndarray, columns: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest id that each row and column reaches through the block's links; same: rows and columns are the same."""
+def _roots(hit: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that each row and column reaches through the block's links."""
     none, top, side = np.iinfo("i8").max, rows.copy(), columns.copy()
     while True:
         top_now = np.minimum(top, np.where(hit, side[None], none).min(axis=1))
         side_now = np.minimum(side, np.where(hit, top_now[:, None], none).min(axis=0))
-        if same:
-            top_now = side_now = np.minimum(top_now, side_now)
         if (top_now == top).all() and (side_now == side).all():
             return top, side
         top, side = top_now, side_now
@@ -103,14 +102,14 @@ def _cosine(a, b) -> float:
     return float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, pivots: int = 32, block: int = 4096) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, pivots: int = 32, each: int = 1600, block: int = 4096) -> DataFrame:
     """Per row of vectors (vec_id, embedding, label): vec_id, n_links (other vectors linked directly), component_id
     (smallest vec_id that links reach), kept (vec_id = component_id).
 
     A link is a cosine of at least threshold between vectors of equal, non-null label and equal dimension. Vectors that
     are null, empty, zero or hold null or non-finite components link with nothing, nor do rows with a null vec_id
     (their component is null and they are kept). Repeated rows are vectors of their own. Other columns are ignored; an
-    empty table gives none."""
+    empty table gives none. There is a pivot for `each` distinct vectors, but `pivots` at least and MOST_PIVOTS at most."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
@@ -120,7 +119,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, pivots: int = 32,
     radius, found = float(np.sqrt(max(0.0, 2 - 2 * threshold))), None
     for dim in [r[0] for r in classes.select("dim").distinct().collect()]:  # widths of embeddings, one as a rule
         part = classes.where(F.col("dim") == dim).select("uid", "n", "label", "embedding")
-        chosen = [r[0] for r in part.select("embedding", F.xxhash64("embedding").alias("h")).distinct().orderBy("h").limit(pivots).collect()]
+        wanted = min(max(pivots, part.count() // each), MOST_PIVOTS)
+        chosen = [r[0] for r in part.select("embedding", F.xxhash64("embedding").alias("h")).distinct().orderBy("h").limit(wanted).collect()]
         dealt = part.mapInPandas(_cells(_unit(chosen), radius), "uid long, n long, label string, embedding array<double>, cell int, home boolean")
         dealt = stored(dealt, "cells")
         sizes = dealt.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
