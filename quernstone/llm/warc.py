@@ -187,6 +187,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def warc_digests(pages: DataFrame) -> DataFrame:
-    """Write pages (page_id, url, html) as WARC files, read them back, and return a row per page."""
+    """Write pages (page_id, url, html) as WARC files, read them back, and return a row per page; nulls, empty and equal
+    payloads, repeated rows, empty tables and other columns: as in write_warc and read_warc."""
     manifest = write_warc(pages, new_folder(pages.sparkSession, "warc"))
     return read_warc(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
