@@ -10,29 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.bpe import bpe_digests
-from quernstone.llm.common import text_key, whole_text
+from quernstone.llm.common import stored, text_key, whole_text
 from quernstone.llm.decontaminate import decontaminated
 from quernstone.llm.minhash import near_duplicates
 from quernstone.llm.substring import remove_repeats
-from quernstone.llm.toxicity import fit_on, score
+from quernstone.llm.toxicity import below, fit_on
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> DataFrame:
     """Without the documents whose score reaches the threshold; fitted on the labelled ones among docs."""
-    scored = score(docs, fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), out="__score")
-    return scored.where(F.col("__score") < threshold).select(docs.columns)
+    return below(docs, fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), threshold)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group of near-duplicates."""
     found = near_duplicates(docs, with_key=True).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    gone = found.select("doc_id", F.col("key").alias("__key")).distinct()  # another text of the same id may stay
-    return docs.withColumn("__key", text_key(whole_text())).join(gone, ["doc_id", "__key"], "left_anti").select(docs.columns)
+    gone = found.select(F.col("doc_id").alias("id"), "key").distinct()  # another text of the same id may stay
+    rows = docs.select(F.struct("*").alias("row")).withColumns({"id": F.col("row.doc_id"), "key": text_key(whole_text("row.text"))})
+    return rows.join(gone, ["id", "key"], "left_anti").select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the sentences of passages that another document, or an earlier place, has first."""
-    return remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return remove_repeats(docs, count=None).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +53,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)  # read by the next stage, more than once
+    return STAGES[-1][1](spark, docs, sf_dir)
