@@ -141,7 +141,7 @@ def _kernel(words: list[str], landmarks: np.ndarray, place: np.ndarray) -> np.nd
         column = place[hashes]
         on = column >= 0
         n = min(200, len(words) - lo)
-        dense = np.bincount(number[on] * landmarks.shape[1] + column[on], weights[on], n * landmarks.shape[1]).reshape(n, -1)
+        dense = np.bincount(number[on] * landmarks.shape[1] + column[on], weights[on], n * landmarks.shape[1]).reshape(n, -1).astype("f4")
         out.append(dense @ landmarks.T)
     return np.concatenate(out) if out else np.zeros((0, len(landmarks)))
 
@@ -169,8 +169,8 @@ def nystroem(marks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     seen = np.unique(hashes)
     place = np.full(TABLE, -1)
     place[seen] = np.arange(len(seen))
-    z = np.bincount(number * len(seen) + place[hashes], weights, len(marks) * len(seen)).reshape(len(marks), -1)
-    values, vectors = np.linalg.eigh(z @ z.T)
+    z = np.bincount(number * len(seen) + place[hashes], weights, len(marks) * len(seen)).reshape(len(marks), -1).astype("f4")
+    values, vectors = np.linalg.eigh((z @ z.T).astype("f8"))
     root = vectors @ np.diag(np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0)) @ vectors.T
     return seen, place, z, root
 
@@ -181,20 +181,24 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 512, rounds: int =
     Of copies, one counts. Clean words that come nearest to the border join the negative ones and the landmarks in each
     round, so that they can be told apart."""
     own = [k for k in range(len(texts)) if k % calibrate != calibrate - 1]
-    family, one = _families({k: texts[k] for k in own}), {}
-    sentences, bags = {}, ({}, {})  # of a copy of each family: its sentences where toxic; all copies' words by label
-    for k in own:
-        found = [w for s in SENTENCE.split(texts[k]) if (w := {one.setdefault(f, f) for c in chunks(s) for f in forms(c)})]
-        if found:
-            bags[toxic[k]].setdefault(family[k], set()).update(*found)
-            if toxic[k]:
-                sentences.setdefault(family[k], found)
-    good, bad = bags
-    if not bad or not good:
+    copies: dict[int, list[int]] = {}
+    for k, root in _families({k: texts[k] for k in own}).items():
+        copies.setdefault(root, []).append(k)
+    one, found, seen, sentences = {}, (Counter(), Counter()), [0, 0], []  # sentences: of one toxic text of each group
+    for group in copies.values():
+        for label in (0, 1):
+            words: set[str] = set()
+            for k in (k for k in group if toxic[k] == label):
+                cut = [tuple({one.setdefault(f, f) for c in chunks(s) for f in forms(c)}) for s in SENTENCE.split(texts[k])]
+                if label and not words and any(cut):
+                    sentences.append([s for s in cut if s])
+                words.update(*cut)
+            found[label].update(words)
+            seen[label] += bool(words)
+    in_good, in_bad = found
+    if not all(seen):
         return None
-    in_good, in_bad = (Counter(w for bag in some.values() for w in bag) for some in bags)
-    one_each = list(sentences.values())
-    share = len(bad) / (len(bad) + len(good))
+    share = seen[1] / sum(seen)
     # evidence: the log likelihood ratio of the word's own share of toxic texts against that of all texts
     odds = {w: _ratio(n, n + in_good[w], share) for w, n in in_bad.items()}
     telling = {w for w, x in odds.items() if x > 10 and in_good[w] * share < 0.1 * in_bad[w] * (1 - share)} or set(sorted(odds, key=lambda w: (-odds[w], w))[:8])
@@ -208,10 +212,8 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 512, rounds: int =
     machine = None
     for _ in range(rounds):
         if machine is not None:
-            found = Counter()
-            for sentence in (_worst(x, machine) for x in one_each):
-                found.update(sentence)
-            witnesses = dict(sorted(found.items())) or witnesses
+            chosen = Counter(w for x in sentences for w in _worst(x, machine))
+            witnesses = dict(sorted(chosen.items())) or witnesses
             some = sorted(set(in_good) - witnesses.keys())
             margin = dict(zip(some, machine.words(some).tolist(), strict=True))
             near = ranking(some, margin.__getitem__)[:500]
@@ -235,7 +237,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 512, rounds: int =
     return machine
 
 
-def _worst(sentences: list[set[str]], machine: Machine) -> list[str]:
+def _worst(sentences: list[tuple[str, ...]], machine: Machine) -> list[str]:
     """The word with the largest margin in a toxic text's sentences, if that is positive."""
     words = sorted(set().union(*sentences))
     margins = machine.words(words)
@@ -296,7 +298,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = 4000, most: int = 1 << 16) -> Machine | None:
+def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = 3000, most: int = 1 << 16) -> Machine | None:
     """Fit on at most per_label rows of each label that aren't held out, chosen by a hash of their ids; of these, texts of
     more than `most` bytes are left out, which bounds what comes to the driver."""
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
