@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group of near-duplicates."""
     found = near_duplicates(docs, with_key=True).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    gone = found.select(F.col("doc_id").alias("id"), "key").distinct()  # another text of the same id may stay
+    gone = found.select(F.col("doc_id").alias("id"), "key")  # another text of the same id may stay
     rows = docs.select(F.struct("*").alias("row")).withColumns({"id": F.col("row.doc_id"), "key": text_key(whole_text("row.text"))})
     return rows.join(gone, ["id", "key"], "left_anti").select("row.*")
 
