@@ -18,13 +18,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25_scores(chunks: DataFrame, queries: DataFrame, config: Bm25 | None = None, posted: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, chunk_id, score) of chunks with a score over 0.
 
-    Postings are cut to the queries' terms before anything is joined to them; Spark broadcasts the terms where their
-    measured size allows. Document frequencies then take one row a posting that is left."""
+    posted: full postings (see index.full_postings), where they are stored; else they are made of the chunks, cut to the
+    queries' terms before anything is joined to them. Spark broadcasts the terms where their measured size allows."""
     config = config or Bm25()
     terms = query_terms(queries)
-    posted = (postings(chunks) if posted is None else posted).join(terms.select("term").distinct(), "term", "left_semi")
-    lengths = chunks.select("doc_id", "chunk_id", F.size("terms").alias("length"), "has_code")
-    weighed = posted.join(term_stats(posted), ["doc_id", "term"]).join(doc_stats(chunks), "doc_id").join(lengths, ["doc_id", "chunk_id"])
+    asked = terms.select("term").distinct()
+    if posted is None:
+        some = postings(chunks).join(asked, "term", "left_semi")
+        lengths = chunks.select("doc_id", "chunk_id", F.size("terms").alias("length"), "has_code")
+        weighed = some.join(term_stats(some), ["doc_id", "term"]).join(doc_stats(chunks), "doc_id").join(lengths, ["doc_id", "chunk_id"])
+    else:
+        weighed = posted.join(asked, "term", "left_semi")
     weight = idf(F.col("num_chunks"), F.col("df")) * saturation(F.col("tf"), F.col("length"), F.col("avg_len"), config)
     weighed = weighed.select("doc_id", "chunk_id", "term", "has_code", weight.alias("weight"))
     score = weighed.join(terms, "term").groupBy("query_id", "doc_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("qf")).alias("score"), F.first("has_code").alias("has_code"))

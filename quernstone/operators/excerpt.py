@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import approx_tokens
 
+#: Separators and texts that callers rely on.
 BETWEEN = "\n--------------------------------\n\n"
 BETWEEN_DOCUMENTS = "\n\n---\n\n"
 DEFAULT_TOKENS = 500
@@ -31,8 +32,7 @@ def budgeted(found: DataFrame, chunks: DataFrame, parity: bool = True, per_docum
     keys = ["query_id", "doc_id"] if per_document else ["query_id"]
     budget = F.when(F.coalesce("max_tokens", F.lit(0)) <= 0, DEFAULT_TOKENS).otherwise(F.col("max_tokens"))
     # an excerpt takes six tokens at least
-    most = found.agg(F.max(budget)).first()[0] or DEFAULT_TOKENS
-    near = found.where(F.col("rank") <= most // 6 + 1).withColumn("max_tokens", budget)
+    near = found.withColumn("max_tokens", budget).where(F.col("rank") <= F.floor(F.col("max_tokens") / 6) + 1)
     meta = [c for c in ("path", "title", "heading_path", "start_line", "end_line", "text") if c not in found.columns]
     near = near.join(chunks.select("doc_id", "chunk_id", *meta), ["doc_id", "chunk_id"])
     whole = excerpt(F.col("text"))

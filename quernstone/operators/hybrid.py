@@ -30,11 +30,11 @@ def similarities(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return embedded.join(vectors, F.lit(True)).select("query_id", "doc_id", "chunk_id", "start_line", cosine(F.col("vector"), F.col("embedding")).alias("similarity"))
 
 
-def hybrid_scores(chunks: DataFrame, queries: DataFrame, fusion: Fusion | None = None, config: Bm25 | None = None) -> DataFrame:
+def hybrid_scores(chunks: DataFrame, queries: DataFrame, fusion: Fusion | None = None, config: Bm25 | None = None, posted: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, chunk_id, score) for queries (query_id, prompt, vector); documents without any embedding, and
     queries without a vector, are ranked by BM25 alone."""
     fusion = fusion or Fusion()
-    lexical = bm25_scores(chunks, queries, config)
+    lexical = bm25_scores(chunks, queries, config, posted)
     near = similarities(chunks, queries)
     ready = near.select("query_id", "doc_id").distinct()
     alone = lexical.join(ready, ["query_id", "doc_id"], "left_anti")

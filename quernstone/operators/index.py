@@ -21,6 +21,13 @@ def doc_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.count("*").alias("num_chunks"), F.avg(F.size("terms")).alias("avg_len"))
 
 
+def full_postings(chunks: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, term, tf, df, length, num_chunks, avg_len, has_code): all that ranking needs of a term in a chunk."""
+    posted = postings(chunks)
+    own = chunks.select("doc_id", "chunk_id", F.size("terms").alias("length"), "has_code")
+    return posted.join(term_stats(posted), ["doc_id", "term"]).join(doc_stats(chunks), "doc_id").join(own, ["doc_id", "chunk_id"])
+
+
 def doc_freq_map(stats: DataFrame) -> DataFrame:
     """(doc_id, doc_freq): term statistics as a map, for export of single documents' indexes."""
     return stats.groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "df")))).alias("doc_freq"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bm25 import Bm25
@@ -14,34 +14,38 @@ from ..operators.excerpt import BETWEEN, BETWEEN_DOCUMENTS, DEFAULT_TOKENS, NOTH
 from ..operators.hybrid import Fusion, hybrid_scores
 
 
-def search(chunks: DataFrame, queries: DataFrame, fusion: Fusion | None = None, config: Bm25 | None = None, per_document: bool = True) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, fusion: Fusion | None = None, config: Bm25 | None = None, per_document: bool = True, posted: DataFrame | None = None) -> DataFrame:
     """Ranked chunks (query_id, doc_id, chunk_id, score, rank, start_line) for queries (query_id, prompt[, vector])."""
-    scores = hybrid_scores(chunks, queries, fusion, config) if fusion else bm25_scores(chunks, queries, config)
+    scores = hybrid_scores(chunks, queries, fusion, config, posted) if fusion else bm25_scores(chunks, queries, config, posted)
     return ranked(scores, chunks, per_document)
 
 
-def answer_each(chunks: DataFrame, queries: DataFrame, fusion: Fusion | None = None, parity: bool = True) -> DataFrame:
+def answer_each(chunks: DataFrame, queries: DataFrame, fusion: Fusion | None = None, parity: bool = True, posted: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, answer) for every query (query_id, prompt, max_tokens) and document that has a hit."""
-    found = search(chunks, queries, fusion).join(queries.select("query_id", "max_tokens"), "query_id")
+    found = search(chunks, queries, fusion, posted=posted).join(queries.select("query_id", "max_tokens"), "query_id")
     return answers(budgeted(found.drop("start_line"), chunks, parity))
 
 
-def answer_ranked(chunks: DataFrame, queries: DataFrame, fusion: Fusion | None = None) -> DataFrame:
+def answer_ranked(chunks: DataFrame, queries: DataFrame, fusion: Fusion | None = None, posted: DataFrame | None = None) -> DataFrame:
     """(query_id, answer) from the best chunks of all documents together, for every query."""
-    found = search(chunks, queries, fusion, per_document=False).join(queries.select("query_id", "max_tokens"), "query_id")
+    found = search(chunks, queries, fusion, per_document=False, posted=posted).join(queries.select("query_id", "max_tokens"), "query_id")
     got = answers(budgeted(found.drop("start_line"), chunks, parity=False, per_document=False), per_document=False)
     return queries.select("query_id").join(got, "query_id", "left").select("query_id", F.coalesce("answer", F.lit(NOTHING_ANYWHERE)).alias("answer"))
 
 
-def answer_in_turn(chunks: DataFrame, queries: DataFrame, fusion: Fusion | None = None) -> DataFrame:
+def answer_in_turn(chunks: DataFrame, queries: DataFrame, fusion: Fusion | None = None, posted: DataFrame | None = None) -> DataFrame:
     """(query_id, answer): documents in order of doc_id, each with the budget that those before have left.
 
-    What a document gives depends on what is left, so a query's candidates are folded in order. A budget of b tokens
-    holds b / 6 excerpts at most and no document needs more than that, nor do more than that many documents matter
-    that give anything; the rest is cut off before the fold."""
+    What a document gives depends on what is left, so a query's candidates are folded in order. Every document with a hit
+    takes six tokens or more of a budget of b, and so does every excerpt: at most b / 6 + 1 documents of a query, and as
+    many chunks of each, go into the fold; the rest is cut off before texts are joined."""
     limit = F.when(F.coalesce("max_tokens", F.lit(0)) <= 0, DEFAULT_TOKENS).otherwise(F.col("max_tokens"))
     asked = queries.select("query_id", limit.alias("max_tokens"))
-    found = search(chunks, queries, fusion).join(asked, "query_id").where(F.col("rank") <= F.floor(F.col("max_tokens") / 6) + 1).drop("start_line")
+    most = F.floor(F.col("max_tokens") / 6) + 1
+    found = search(chunks, queries, fusion, posted=posted).join(asked, "query_id").where(F.col("rank") <= most).drop("start_line")
+    order = Window.partitionBy("query_id").orderBy("doc_id")  # a row a document
+    first = found.where("rank = 1").select("query_id", "doc_id", "max_tokens", F.row_number().over(order).alias("place")).where(F.col("place") <= most)
+    found = found.join(first.select("query_id", "doc_id"), ["query_id", "doc_id"])
     meta = ["doc_id", "chunk_id", "path", "title", "heading_path", "start_line", "end_line", "text"]
     rows = found.join(chunks.select(meta), ["doc_id", "chunk_id"]).select("query_id", "max_tokens", "rank", *meta)
 

@@ -46,6 +46,7 @@ class Service:
     def _load(self, paths: list[str]) -> dict[str, bool]:
         """Index what is new or changed; whether each document came from the store."""
         files = read_files(self.spark, paths)
+        read = {r.doc_id for r in files.select("doc_id").collect()}
         stale = self.store.stale(files).persist()
         try:
             fresh = {r.doc_id for r in stale.select("doc_id").collect()}
@@ -54,15 +55,18 @@ class Service:
         finally:
             stale.unpersist()
         if fresh and self.embed:
-            self.store.put_embeddings(embed_chunks(self.store.chunks().where(F.col("doc_id").isin(*fresh)), self.embed, self.parallel))
-        return {path_id(p): path_id(p) not in fresh for p in paths}
+            wanted = self.spark.createDataFrame([(i,) for i in fresh], "doc_id string")
+            self.store.put_embeddings(embed_chunks(self.store.chunks().join(wanted, "doc_id", "left_semi"), self.embed, self.parallel))
+        return {i: i not in fresh for i in map(path_id, paths) if i in read}
 
     def docs_load(self, path: str) -> str:
         if not path.strip():
             raise ValueError("path is required")
         if not os.path.isfile(path):
             raise FileNotFoundError(f"read file: open {path}: no such file or directory")
-        cached = self._load([path])[path_id(path)]
+        cached = self._load([path]).get(path_id(path))
+        if cached is None:
+            raise OSError(f"read file: open {path}: permission denied")
         doc = self.store.get(path_id(path)).first()
         text = ("Loaded from cache." if cached else "Indexed and cached.") + f"\n\ndoc_id: {doc.doc_id}\npath: {doc.path}\nchunks: {doc.num_chunks}\n"
         return text + f"indexed_at: {_stamp(doc.indexed_at)}\n" if cached else text
@@ -71,11 +75,10 @@ class Service:
         if not pattern.strip():
             raise ValueError("pattern is required")
         paths = find_files(pattern)
-        readable = [p for p in paths if os.access(p, os.R_OK)]
-        cached = self._load(readable) if readable else {}
+        cached = self._load(paths)
         ids = self.spark.createDataFrame([(i,) for i in cached], "doc_id string")
         total = self.store.documents().join(ids, "doc_id", "left_semi").agg(F.sum("num_chunks")).first()[0] or 0
-        failed = len(paths) - len(readable)
+        failed = len(paths) - len(cached)
         text = f"Loaded {len(cached)} files ({sum(cached.values())} cached), {total} chunks total"
         return text + (f", {failed} failed" if failed else "")
 
@@ -90,14 +93,14 @@ class Service:
             if self.store.documents().isEmpty():
                 raise LookupError("no documents loaded (use docs_load or site_load first)")
             every = answer_in_turn if self.parity else answer_ranked
-            return every(self.store.chunks(), query, fusion).first().answer
+            return every(self.store.chunks(), query, fusion, posted=self.store.postings()).first().answer
         doc_id = doc_id or path_id(path)
         doc = self.store.get(doc_id).first()
         if doc is None:
             raise LookupError("document not loaded (call docs_load first)")
         if path and doc.path != path:
             raise LookupError(f"cache doc_id exists but path differs: {doc.path} vs {path}")
-        got = answer_each(self.store.chunks().where(F.col("doc_id") == doc_id), query, fusion, self.parity).first()
+        got = answer_each(self.store.chunks(doc_id), query, fusion, self.parity, self.store.postings(doc_id)).first()
         return got.answer if got else NOTHING
 
     def _vector(self, prompt: str) -> list[float] | None:
@@ -155,4 +158,5 @@ class Service:
 
 
 def _stamp(when: datetime) -> str:
-    return when.strftime("%Y-%m-%dT%H:%M:%SZ")
+    """A timestamp as Spark hands it over, which is in the driver's zone."""
+    return when.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")

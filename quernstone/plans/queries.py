@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,10 @@ from ..operators.hybrid import Fusion, hybrid_scores
 from ..operators.index import doc_stats, postings, term_stats
 from ..sources.html import host, html_to_markdown
 from .answers import answer_in_turn, answer_ranked, search
+from .store import IndexStore, scratch
 from .corpora import embedded_corpus, markdown_corpus, prompts, search_corpus, table
 
+INDEXED = datetime(2024, 1, 1, tzinfo=timezone.utc)
 PROMPT = "tion with re ouch thing"
 
 
@@ -78,7 +81,7 @@ def bm25_code_boost(spark, sf_dir):
 
 
 def multi_query_bm25(spark, sf_dir):
-    return _flat(bm25_scores(search_corpus(spark, sf_dir), prompts(spark, sf_dir).where("query_id % 10 = 0"))).select("query_id", "doc_id", "chunk_id", "score")
+    return _flat(bm25_scores(search_corpus(spark, sf_dir), prompts(spark, sf_dir))).select("query_id", "doc_id", "chunk_id", "score")
 
 
 def cosine_similarity(spark, sf_dir):
@@ -160,29 +163,39 @@ def url_hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
 
 
+def _own_store(spark) -> IndexStore:
+    return IndexStore(spark, scratch(spark), buckets=8)
+
+
 def docs_list(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("num_chunks"))
-    return d.select(short_id(F.col("source")).alias("doc_id"), F.col("source").alias("path"), "num_chunks")
+    store, files = _own_store(spark), markdown_corpus(spark, sf_dir)
+    store.index(files.withColumn("file_hash", F.sha2("content", 256)), INDEXED)
+    return store.list().select("doc_id", "path", "num_chunks")
+
+
+def stored_postings(spark, sf_dir):
+    store, files = _own_store(spark), markdown_corpus(spark, sf_dir)
+    store.index(files.withColumn("file_hash", F.sha2("content", 256)), INDEXED)
+    return store.postings().select("doc_id", "chunk_id", "term", "tf", "df", "length", "num_chunks", F.round("avg_len", 6).alias("avg_len"))
 
 
 def _versions(spark, sf_dir):
     """The pages as files, and a store that has seen all but every seventh, and every fifth with another content."""
-    p = table(spark, sf_dir, "pages")
-    files = p.select(short_id(F.col("url")).alias("doc_id"), F.col("url").alias("path"), F.sha2("html", 256).alias("file_hash"), "page_id")
-    seen = F.when(F.col("page_id") % 5 == 0, F.sha2(F.concat("html", F.lit("!")), 256)).otherwise(F.sha2("html", 256))
-    known = p.where("page_id % 7 <> 0").select(short_id(F.col("url")).alias("doc_id"), F.col("url").alias("path"), seen.alias("file_hash"))
-    return files, known
+    p = table(spark, sf_dir, "pages").select(short_id(F.col("url")).alias("doc_id"), F.col("url").alias("path"), "page_id", F.coalesce("html", F.lit("")).alias("content"))
+    store, hashed = _own_store(spark), F.sha2("content", 256)
+    seen = F.when(F.col("page_id") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    store.index(p.where("page_id % 7 <> 0").withColumn("content", seen).withColumn("file_hash", hashed), INDEXED)
+    return p.withColumn("file_hash", hashed), store
 
 
 def stale_documents(spark, sf_dir):
-    files, known = _versions(spark, sf_dir)
-    return files.join(known, ["doc_id", "path", "file_hash"], "left_anti").select("doc_id", "path")
+    files, store = _versions(spark, sf_dir)
+    return store.stale(files).select("doc_id", "path")
 
 
 def load_summary(spark, sf_dir):
-    files, known = _versions(spark, sf_dir)
-    seen = files.join(known.withColumn("hit", F.lit(1)).distinct(), ["doc_id", "path", "file_hash"], "left")
-    return seen.agg(F.count("*").alias("loaded"), F.count("hit").alias("cached"))
+    files, store = _versions(spark, sf_dir)
+    return files.agg(F.count("*").alias("loaded")).crossJoin(store.stale(files).agg(F.count("*").alias("stale"))).select("loaded", (F.col("loaded") - F.col("stale")).alias("cached"))
 
 
 def pages_markdown(spark, sf_dir):
@@ -192,7 +205,7 @@ def pages_markdown(spark, sf_dir):
 _ALL = (
     normalize_terms_counts, strip_html_pages, token_estimates, term_frequency, doc_frequency, chunk_length_avg, idf_weights, bm25_rank, bm25_code_boost, multi_query_bm25, cosine_similarity, hybrid_weighted,
     hybrid_rrf, excerpts_budget, query_answer, query_all_ranked, query_all_parity, chunk_boundaries, chunk_boundaries_python, code_blocks, table_rows, chunk_search, embedding_texts, doc_ids, content_hash,
-    url_hosts, docs_list, stale_documents, load_summary, pages_markdown,
+    url_hosts, docs_list, stored_postings, stale_documents, load_summary, pages_markdown,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -262,6 +275,15 @@ _STEPS = r"""w AS (
     LATERAL (SELECT plain AND (w.n + 1 >= 120 OR run >= 4) AS full_) z)"""
 _FOUND = f"WITH RECURSIVE {_MARKDOWN}, {_STEPS}"
 
+_CUT = """c AS (SELECT path, out.s AS s, out.e AS e FROM w WHERE out IS NOT NULL
+UNION ALL SELECT path, start, no FROM w WHERE n > 0 AND solid AND no = (SELECT max(no) FROM l WHERE l.path = w.path))"""
+_TEXTS = f"""b AS (SELECT path, block.shut AS shut FROM w WHERE block IS NOT NULL),
+x AS (SELECT sha256(path)[1:16] AS doc_id, s, e, EXISTS (SELECT 1 FROM b WHERE b.path = c.path AND shut BETWEEN s AND e) AS has_code,
+  (SELECT string_agg(line, chr(10) ORDER BY no) FROM l WHERE l.path = c.path AND no BETWEEN s AND e) AS text FROM c),
+k AS (SELECT doc_id, doc_id || ':' || s || '-' || e AS chunk_id, s, has_code, {_terms('text')} AS terms FROM x)"""
+_STATS_OF_CHUNKS = """p AS (SELECT doc_id, chunk_id, term, count(*) AS tf FROM (SELECT doc_id, chunk_id, unnest(terms) AS term FROM k) GROUP BY ALL),
+f AS (SELECT doc_id, term, count(*) AS df FROM p GROUP BY ALL), n AS (SELECT doc_id, count(*) AS num_chunks, avg(len(terms)) AS avg_len FROM k GROUP BY doc_id)"""
+
 ORACLE: dict[str, str] = {
     "normalize_terms_counts": f"SELECT term, count(*) AS n FROM (SELECT unnest({_terms('text')}) AS term FROM documents) GROUP BY term",
     "strip_html_pages": f"SELECT page_id, md5(x) AS digest, length(x)::BIGINT AS n FROM (SELECT page_id, {_strip('html')} AS x FROM pages)",
@@ -272,7 +294,7 @@ ORACLE: dict[str, str] = {
     "idf_weights": f"{_BASE} SELECT doc_id, term, round(ln(1e0 + (num_chunks - df + 0.5e0) / (df + 0.5e0)), 6) AS idf FROM f JOIN n USING (doc_id)",
     "bm25_rank": f"{_BM25} SELECT doc_id, chunk_id, round(raw, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(raw, 9) DESC, line)::INT AS rank FROM s WHERE raw > 0",
     "bm25_code_boost": f"{_BM25}, {_BOOST} SELECT doc_id, chunk_id, round(score, 6) AS score FROM b",
-    "multi_query_bm25": f"{_BASE}, q AS (SELECT item_id AS query_id, unnest({_terms('text')}) AS term FROM benchmark WHERE item_id % 10 = 0), {_QUERY}, {_SCORE}, {_BOOST} SELECT query_id, doc_id, chunk_id, round(score, 6) AS score FROM b",
+    "multi_query_bm25": f"{_BASE}, q AS (SELECT item_id AS query_id, unnest({_terms('text')}) AS term FROM benchmark), {_QUERY}, {_SCORE}, {_BOOST} SELECT query_id, doc_id, chunk_id, round(score, 6) AS score FROM b",
     "cosine_similarity": "SELECT e.vec_id, round(list_cosine_similarity(z.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) z",
     "hybrid_weighted": f"""{_BM25}, {_BOOST}, {_SIM}, g AS (SELECT doc_id, chunk_id, score / max(score) OVER (PARTITION BY doc_id) AS share FROM b)
 SELECT doc_id, chunk_id, round(CASE WHEN sim IS NULL THEN 0.3e0 * share ELSE 0.3e0 * coalesce(share, 0) + 0.7e0 * (sim + 1) / 2 END, 6) AS score FROM g FULL JOIN v USING (doc_id, chunk_id)
@@ -300,7 +322,15 @@ SELECT c.path, s AS start_line, e AS end_line, title, heads AS headings, EXISTS
     "doc_ids": "SELECT page_id, sha256(url)[1:16] AS doc_id FROM pages",
     "content_hash": "SELECT page_id, sha256(html) AS file_hash FROM pages",
     "url_hosts": r"SELECT regexp_extract(url, '^[a-z]+://(?:[^/@]*@)?([^/?#]+)', 1) AS host, count(*) AS pages FROM pages GROUP BY 1",
-    "docs_list": "SELECT sha256(source)[1:16] AS doc_id, source AS path, count(*) AS num_chunks FROM documents GROUP BY source",
+    "docs_list": f"{_FOUND}, {_CUT} SELECT sha256(path)[1:16] AS doc_id, path, count(s) AS num_chunks FROM m LEFT JOIN c USING (path) GROUP BY path",
+    "stored_postings": f"{_FOUND}, {_CUT}, {_TEXTS}, {_STATS_OF_CHUNKS} SELECT doc_id, chunk_id, term, tf, df, len(terms)::INT AS length, num_chunks, round(avg_len, 6) AS avg_len FROM p JOIN f USING (doc_id, term) JOIN n USING (doc_id) JOIN k USING (doc_id, chunk_id)",
+    "chunk_search": f"""{_FOUND}, {_CUT}, {_TEXTS}, {_STATS_OF_CHUNKS}, q AS (SELECT 0 AS query_id, unnest({_terms("'alpha tail bold select'")}) AS term), {_QUERY},
+g AS (SELECT doc_id, chunk_id, any_value(s) AS line, any_value(has_code) AS has_code,
+  sum(ln(1e0 + (num_chunks - df + 0.5e0) / (df + 0.5e0)) * (tf * 2.2e0) / (tf + 1.2e0 * (0.25e0 + 0.75e0 * len(terms) / avg_len)) * qf) AS raw
+  FROM qf JOIN p USING (term) JOIN f USING (doc_id, term) JOIN n USING (doc_id) JOIN k USING (doc_id, chunk_id) GROUP BY doc_id, chunk_id),
+h AS (SELECT doc_id, chunk_id, line, CASE WHEN has_code THEN raw * 1.2e0 ELSE raw END AS score FROM g)
+SELECT doc_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, line)::INT AS rank FROM h WHERE score > 0""",
     "stale_documents": f"WITH {_VERSIONS} SELECT doc_id, path FROM w ANTI JOIN k USING (doc_id, path, file_hash)",
     "load_summary": f"WITH {_VERSIONS} SELECT count(*) AS loaded, count(*) FILTER (EXISTS (SELECT 1 FROM k WHERE k.doc_id = w.doc_id AND k.path = w.path AND k.file_hash = w.file_hash)) AS cached FROM w",
 }
+ORACLE["chunk_boundaries_python"] = f"SELECT sha256(path)[1:16] AS doc_id, start_line, end_line, title, headings, has_code, digest FROM ({ORACLE['chunk_boundaries']})"

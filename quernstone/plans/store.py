@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +13,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.chunker import chunk
-from ..operators.index import postings, term_stats
+from ..operators.index import full_postings
 
 VERSION = 4
 DOCUMENTS = "doc_id string, path string, source_url string, file_hash string, indexed_at timestamp, num_chunks long, version int, bucket int"
 CHUNKS = "chunk_id string, doc_id string, path string, title string, heading_path array<string>, start_line int, end_line int, text string, code_blocks array<struct<language:string,code:string,line:int>>, table_rows array<struct<cells:array<string>,line:int>>, has_code boolean, terms array<string>, embedding array<float>, bucket int"
+POSTINGS = "doc_id string, chunk_id string, term string, tf long, df long, length int, num_chunks long, avg_len double, has_code boolean, bucket int"
 RAW = "doc_id string, content string, bucket int"
 BUCKETS = 64
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder, shared by driver and executors where spark.checkpoint.dir names one, that goes with the application."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/quernstone-store-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
+
+
 class IndexStore:
-    """Tables `documents`, `chunks` and `markdown` under one folder, each partitioned by a hash bucket of doc_id, so that
+    """Tables `documents`, `chunks`, `postings` (with document frequencies) and `markdown` under one folder, each partitioned by a hash bucket of doc_id, so that
     an upsert rewrites the buckets it touches only and a lookup reads one."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
@@ -40,15 +56,33 @@ class IndexStore:
         """Documents of this version; others have to be indexed anew."""
         return self._read("documents", DOCUMENTS).where(F.col("version") == VERSION).drop("bucket")
 
-    def chunks(self) -> DataFrame:
-        return self._read("chunks", CHUNKS).drop("bucket")
+    def _of(self, name: str, schema: str, doc_id: str | None) -> DataFrame:
+        """A table, or what it has of one document, for which one bucket is read."""
+        rows = self._read(name, schema)
+        if doc_id is not None:
+            bucket = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(doc_id)), F.lit(self.buckets))).first()[0]
+            rows = rows.where((F.col("bucket") == bucket) & (F.col("doc_id") == doc_id))
+        return rows.drop("bucket")
+
+    def chunks(self, doc_id: str | None = None) -> DataFrame:
+        return self._of("chunks", CHUNKS, doc_id)
 
-    def markdown(self) -> DataFrame:
-        return self._read("markdown", RAW).drop("bucket")
+    def postings(self, doc_id: str | None = None) -> DataFrame:
+        return self._of("postings", POSTINGS, doc_id)
+
+    def markdown(self, doc_id: str | None = None) -> DataFrame:
+        return self._of("markdown", RAW, doc_id)
 
     def get(self, doc_id: str) -> DataFrame:
-        bucket = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(doc_id)), F.lit(self.buckets))).first()[0]
-        return self._read("documents", DOCUMENTS).where((F.col("bucket") == bucket) & (F.col("doc_id") == doc_id) & (F.col("version") == VERSION)).drop("bucket")
+        return self._of("documents", DOCUMENTS, doc_id).where(F.col("version") == VERSION)
+
+    def _own_chunks(self, docs: DataFrame) -> DataFrame:
+        """The stored chunks of these documents, from their buckets."""
+        return self._read("chunks", CHUNKS).where(F.col("bucket").isin(*self._buckets(docs))).drop("bucket").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def _buckets(self, docs: DataFrame) -> list[int]:
+        """The buckets of these documents: as many numbers as the store has buckets at most."""
+        return [r[0] for r in docs.select(self._bucket().alias("bucket")).distinct().collect()]
 
     def stale(self, files: DataFrame) -> DataFrame:
         """Rows of files (doc_id, path, file_hash, ...) that the store lacks in this version with this path and content."""
@@ -62,7 +96,9 @@ class IndexStore:
         pieces = chunk(files, max_lines, min_lines).withColumn("embedding", F.lit(None).cast("array<float>"))
         self._upsert("markdown", files.select("doc_id", "content"), RAW, files)
         self._upsert("chunks", pieces, CHUNKS, files)
-        counts = self.chunks().groupBy("doc_id").agg(F.count("*").alias("num_chunks"))
+        own = self._own_chunks(files)
+        self._upsert("postings", full_postings(own), POSTINGS, files)
+        counts = own.groupBy("doc_id").agg(F.count("*").alias("num_chunks"))
         rows = files.join(counts, "doc_id", "left").select("doc_id", "path", "source_url", "file_hash", F.lit(indexed_at).cast("timestamp").alias("indexed_at"), F.coalesce("num_chunks", F.lit(0)).alias("num_chunks"), F.lit(VERSION).alias("version"))
         self._upsert("documents", rows, DOCUMENTS, files)
         return rows
@@ -70,19 +106,21 @@ class IndexStore:
     def put_embeddings(self, vectors: DataFrame) -> None:
         """Store vectors (doc_id, chunk_id, embedding) with their chunks."""
         touched = vectors.select("doc_id").distinct()
-        own = self.chunks().join(touched, "doc_id", "left_semi").drop("embedding").join(vectors.select("doc_id", "chunk_id", "embedding"), ["doc_id", "chunk_id"], "left")
+        own = self._own_chunks(touched).drop("embedding").join(vectors.select("doc_id", "chunk_id", "embedding"), ["doc_id", "chunk_id"], "left")
         self._upsert("chunks", own, CHUNKS, touched)
 
     def _upsert(self, name: str, rows: DataFrame, schema: str, touched: DataFrame) -> None:
         """Replace all rows of the touched documents. Buckets are written beside the table first: Spark can't overwrite
         what the same plan reads."""
         ids = touched.select("doc_id").distinct().withColumn("bucket", self._bucket())
-        old = self._read(name, schema).join(ids.select("bucket").distinct(), "bucket", "left_semi").join(ids, "doc_id", "left_anti")
+        old = self._read(name, schema).where(F.col("bucket").isin(*self._buckets(touched))).join(ids, "doc_id", "left_anti")
         rows = rows.withColumn("bucket", self._bucket())
         whole = [f.name for f in self.spark.createDataFrame([], schema).schema]
-        beside = f"{self.folder}/_next/{name}"
-        rows.select(whole).unionByName(old.select(whole)).repartition("bucket").write.mode("overwrite").parquet(beside)
+        beside = f"{self.folder}/_next/{name}-{uuid.uuid4().hex}"
+        rows.select(whole).unionByName(old.select(whole)).repartition("bucket").write.parquet(beside)
         self.spark.read.schema(schema).parquet(beside).repartition("bucket").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(beside)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def list(self) -> DataFrame:
         return self.documents().select("doc_id", "path", "source_url", "num_chunks", "indexed_at").orderBy("doc_id")
@@ -92,11 +130,11 @@ class IndexStore:
         head = self.get(doc_id).first()
         if head is None:
             raise LookupError("document not loaded (call docs_load first)")
-        pieces = self.chunks().where(F.col("doc_id") == doc_id).orderBy("start_line")
+        pieces = self.chunks(doc_id).orderBy("start_line")
         out = {k: v for k, v in head.asDict().items() if v is not None}
         out["indexed_at"] = head.indexed_at.isoformat()
         out["chunks"] = [json.loads(r[0]) for r in pieces.select(F.to_json(F.struct(*pieces.columns))).collect()]
-        out["doc_freq"] = {r.term: r.df for r in term_stats(postings(pieces)).collect()}
+        out["doc_freq"] = {r.term: r.df for r in self.postings(doc_id).select("term", "df").distinct().collect()}
         os.makedirs(folder, exist_ok=True)
         path = os.path.join(os.path.abspath(folder), f"{doc_id}.index.json")
         with open(path, "w", encoding="utf-8") as f:
@@ -105,7 +143,7 @@ class IndexStore:
 
     def export_markdown(self, doc_id: str, folder: str) -> str:
         """One document's source as `<doc_id>.md`; its absolute path."""
-        row = self.markdown().where(F.col("doc_id") == doc_id).first()
+        row = self.markdown(doc_id).first()
         if row is None:
             raise LookupError("document not loaded (call docs_load first)")
         os.makedirs(folder, exist_ok=True)

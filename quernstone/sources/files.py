@@ -7,7 +7,7 @@ import glob
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import path_id
@@ -43,25 +43,40 @@ def _broken(pattern: str) -> bool:
     return any(x.count("[") > x.count("]") for x in pattern.split("/"))
 
 
+def as_text(content: Column) -> Column:
+    """Bytes as UTF-8; what isn't valid becomes the replacement character."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(doc_id, path, content, file_hash) of whole files. Names that Spark's readers leave out (with a leading dot or
-    underscore) are read through a list; the rest in parallel, path as asked for."""
+    underscore) are read through a list; the rest in parallel, path as asked for. Files that are gone, or that can't be
+    read, have no row."""
+    paths = [p for p in paths if os.path.isfile(p) and os.access(p, os.R_OK)]
     hidden = [p for p in paths if os.path.basename(p)[0] in "._"]
     shown = [p for p in paths if p not in set(hidden)]
     out = None
     if shown:
         names = spark.createDataFrame([(os.path.abspath(p), p, path_id(p)) for p in shown], "absolute string, path string, doc_id string")
-        raw = spark.read.format("binaryFile").load([f"file://{_quoted(os.path.abspath(p))}" for p in shown])
+        raw = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load([f"file://{_quoted(os.path.abspath(p))}" for p in shown])
         raw = raw.select(F.regexp_replace("path", "^file:/+", "/").alias("absolute"), "content")
         raw = raw.withColumn("absolute", F.try_url_decode(F.replace("absolute", F.lit("+"), F.lit("%2B"))))
-        out = raw.join(names, "absolute").select("doc_id", "path", F.decode("content", "utf-8").alias("content"), F.sha2("content", 256).alias("file_hash"))
+        out = raw.join(names, "absolute").select("doc_id", "path", as_text(F.col("content")).alias("content"), F.sha2("content", 256).alias("file_hash"))
     if hidden:
-        rows = [(path_id(p), p, open(p, "rb").read()) for p in hidden]
-        few = spark.createDataFrame(rows, "doc_id string, path string, raw binary").select("doc_id", "path", F.decode("raw", "utf-8").alias("content"), F.sha2("raw", 256).alias("file_hash"))
+        rows = [(path_id(p), p, raw) for p in hidden if (raw := _bytes(p)) is not None]
+        few = spark.createDataFrame(rows, "doc_id string, path string, raw binary").select("doc_id", "path", as_text(F.col("raw")).alias("content"), F.sha2("raw", 256).alias("file_hash"))
         out = few if out is None else out.unionByName(few)
     return spark.createDataFrame([], FILES) if out is None else out
 
 
+def _bytes(path: str) -> bytes | None:
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except OSError:
+        return None
+
+
 def _quoted(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.store import IndexStore
+from ..sources.files import as_text
 
 
 def ingest(spark: SparkSession, folder: str, store: IndexStore, checkpoint: str, clock: Callable[[], datetime], pattern: str = "*.md") -> StreamingQuery:
@@ -17,7 +18,7 @@ def ingest(spark: SparkSession, folder: str, store: IndexStore, checkpoint: str,
     leave out what it has, and an upsert replaces whole documents."""
     files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     path = F.regexp_replace("path", "^file:/+", "/")
-    files = files.select(path.alias("path"), "modificationTime", F.decode("content", "utf-8").alias("content"), F.sha2("content", 256).alias("file_hash"))
+    files = files.select(path.alias("path"), "modificationTime", as_text(F.col("content")).alias("content"), F.sha2("content", 256).alias("file_hash"))
     files = files.withColumn("doc_id", F.substring(F.sha2("path", 256), 1, 16))
 
     def take(batch, _) -> None:

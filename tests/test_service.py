@@ -1,5 +1,6 @@
 """Files, pages, the store, the tools and the stream."""
 
+import os
 from datetime import datetime, timezone
 
 import pytest
@@ -81,6 +82,31 @@ def test_glob_list_and_export(spark, docs, tmp_path):
     assert open(s.store.export_markdown(first, str(tmp_path / "out"))).read().startswith("# Title")
 
 
+def test_broken_files_among_good_ones(spark, docs, tmp_path):
+    (docs / "latin.md").write_bytes(b"# T\xe9te\n\nzebra caf\xe9 stripes\n")
+    (docs / "gone.md").symlink_to(docs / "nothing")
+    s = service(spark, tmp_path)
+    assert s.docs_load_glob(f"{docs}/*.md").startswith("Loaded 4 files (0 cached), ")
+    assert "caf\ufffd stripes" in s.docs_query("zebra", path=str(docs / "latin.md"))
+    rows = read_files(spark, [str(docs / "a.md"), str(docs / "gone.md"), str(docs / "none.md"), str(docs / "_gone.md")]).collect()
+    assert [r.path for r in rows] == [str(docs / "a.md")]
+    query = ingest(spark, str(docs), IndexStore(spark, f"{tmp_path}/streamed"), f"{tmp_path}/checkpoint", lambda: NOW, "latin.md")
+    query.awaitTermination()
+    assert IndexStore(spark, f"{tmp_path}/streamed").documents().count() == 1
+
+
+def test_one_document_reads_one_bucket(spark, docs, tmp_path):
+    store = IndexStore(spark, f"{tmp_path}/store", buckets=16)
+    store.index(read_files(spark, find_files(f"{docs}/**/*.md")), NOW)
+    first = store.list().first().doc_id
+    for rows in (store.chunks(first), store.postings(first), store.markdown(first), store.get(first)):
+        assert len({x.split("bucket=")[1].split("/")[0] for x in rows.inputFiles()}) <= 4
+        assert "PartitionFilters: [isnotnull(bucket" in rows._jdf.queryExecution().executedPlan().toString() and {r.doc_id for r in rows.collect()} == {first}
+    posted = store.postings()
+    assert posted.count() == posted.select("doc_id", "chunk_id", "term").distinct().count() > 0
+    assert not os.listdir(f"{tmp_path}/store/_next")
+
+
 def test_version_and_upsert(spark, docs, tmp_path):
     store = IndexStore(spark, f"{tmp_path}/store", buckets=2)
     files = read_files(spark, find_files(f"{docs}/**/*.md"))
