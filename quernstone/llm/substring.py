@@ -154,7 +154,7 @@ def sentences(text: str) -> list[str]:
 def find_spans(docs: DataFrame, min_sentences: int, min_words: int, long: int = LONG, together: int = 1 << 19) -> DataFrame:
     """(uid, t, h1, h2, place, late) of every span of docs (uid, t, text); see Layout.place.
 
-    Late spans are known to stand at an earlier place as well. Theirs are hashes of the document, so that a common span's
+    Late spans are known to stand at an earlier place as well. Theirs are hashes of the place, so that a common span's
     rows do not meet in one task."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,7 @@ def _rows(uid: np.ndarray, t: np.ndarray, h1: np.ndarray, h2: np.ndarray, place:
         new = np.concatenate([[True], (h1[on[1:]] != h1[on[:-1]]) | (h2[on[1:]] != h2[on[:-1]])])
         first = on[np.flatnonzero(new)[np.cumsum(new) - 1]]
         late[on] = (uid[on] != uid[first]) | (t[on] != t[first]) | (place[on] != place[first])
-        h1, h2 = np.where(late, mix(uid.view("u8") ^ t.view("u8")).view("i8"), h1), np.where(late, 0, h2).astype("i4")
+        h1, h2 = np.where(late, mix(mix(mix(uid.view("u8")) ^ t.view("u8")) ^ place.view("u8")).view("i8"), h1), np.where(late, 0, h2).astype("i4")
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (uid, t, h1, h2, place, late)], ["uid", "t", "h1", "h2", "place", "late"])
 
 
