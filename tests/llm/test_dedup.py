@@ -11,6 +11,7 @@ from corpus_pipeline import near_dedup
 from quernstone.llm.common import text_key, whole_text
 from quernstone.llm.decontaminate import Items, all_samples, best_match, decontaminated, edits_allowed, leaks
 from quernstone.llm.minhash import Words, bag_minhash, near_duplicates, shingles, similar
+from quernstone.llm import neardup_vectors
 from quernstone.llm.neardup_vectors import near_vectors
 from quernstone.llm.substring import find_spans, remove_repeats, sentences
 
@@ -370,3 +371,41 @@ def test_near_vectors_of_odd_rows(spark):
     assert near_vectors(spark.createDataFrame([], schema)).collect() == []
     rows = near_vectors(spark.createDataFrame([(None, [1.0], 1), (1, [1.0], 1), (1, [1.0], 1)], schema)).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in rows) == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True)]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_near_vectors_are_stored_once_however_many_pivots(spark, monkeypatch, kind):
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((30, 48))
+    rows = [(base[k % 30] + rng.uniform(0, 0.3) * rng.standard_normal(48), k % 2) for k in range(300)] + [(rng.standard_normal(48), 0) for _ in range(200)]
+    for k in range(40):  # on either side of the threshold, nearer to it than single precision can tell
+        a, b = np.linalg.qr(rng.standard_normal((48, 2)))[0].T
+        c = 0.98 + (k - 19.5) * 1e-9 if kind == "double" else 0.98
+        rows += [(a, 1), (c * a + np.sqrt(1 - c * c) * b, 1)]
+    cast = np.float32 if kind == "float" else float
+    rows = [(n, [float(cast(x)) for x in v], label) for n, (v, label) in enumerate(rows)]
+    sizes, stored = [], neardup_vectors.stored
+
+    def noted(df, name):
+        out = stored(df, name)
+        if name != "found":
+            sizes.append(out.selectExpr("sum(rows)").first()[0] if "rows" in out.columns else out.count())
+        return out
+
+    monkeypatch.setattr(neardup_vectors, "stored", noted)
+    monkeypatch.setattr(neardup_vectors, "BEHIND", 3, raising=False)
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").repartition(4)
+    got = {r.vec_id: r for r in near_vectors(df, pivots=300, block=16).collect()}
+    count, root = brute_vectors(rows)
+    assert [got[k].n_links for k in range(len(rows))] == [count[k] for k in range(len(rows))]
+    assert [got[k].component_id for k in range(len(rows))] == root
+    assert set(sizes) == {len(rows)}
+
+
+@pytest.mark.parametrize("most", [5, 70, 400])
+def test_near_vector_tasks_compare_blocks_once(most):
+    rng = random.Random(12)
+    labels = sorted(rng.randint(0, most) for _ in range(401))
+    first, last = labels[:-1], labels[1:]  # the last label of a block goes on in the next
+    pairs = Counter((x, y) for x0, x1, y0, y1 in neardup_vectors._tasks(first, last) for x in range(x0, x1) for y in range(max(x, y0), y1))
+    assert set(pairs.values()) == {1} and {(x, y) for x in range(400) for y in range(x, 400) if first[y] <= last[x]} <= set(pairs)
