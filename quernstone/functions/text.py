@@ -36,8 +36,7 @@ def strip_html(text: Column) -> Column:
 def normalize_terms(text: Column) -> Column:
     """Lower-cased ASCII words of two characters or more that aren't stopwords, in order, repeats kept; null text: none."""
     lowered = F.lower(F.replace(strip_html(F.coalesce(text, F.lit(""))), F.lit("İ"), F.lit("i")))
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
-    return F.filter(F.regexp_extract_all(lowered, F.lit("[a-zA-Z0-9_]+"), F.lit(0)), lambda t: (F.length(t) >= MIN_TERM) & ~F.array_contains(stop, t))
+    return F.filter(F.regexp_extract_all(lowered, F.lit("[a-zA-Z0-9_]+"), F.lit(0)), lambda t: (F.length(t) >= MIN_TERM) & ~t.isin(*STOPWORDS))
 
 
 def approx_tokens(text: Column) -> Column:

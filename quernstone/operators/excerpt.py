@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import approx_tokens
+from .scratch import stored
 
 #: Separators and texts that callers rely on.
 BETWEEN = "\n--------------------------------\n\n"
@@ -23,6 +24,11 @@ def excerpt(text: Column) -> Column:
     return F.concat(F.lit("### "), title, F.lit("\nSource: "), "path", F.lit("#L"), F.col("start_line").cast("string"), F.lit("-L"), F.col("end_line").cast("string"), F.lit("\n\n"), text, F.lit("\n"))
 
 
+def most(tokens: int | None) -> int:
+    """As many excerpts as a budget holds at most, and one: an excerpt takes six tokens at least."""
+    return (tokens if tokens and tokens > 0 else DEFAULT_TOKENS) // 6 + 1
+
+
 def budgeted(found: DataFrame, chunks: DataFrame, parity: bool = True, per_document: bool = True) -> DataFrame:
     """found (query_id, doc_id, chunk_id, score, rank, max_tokens) with excerpt, tokens, used and fits.
 
@@ -31,8 +37,8 @@ def budgeted(found: DataFrame, chunks: DataFrame, parity: bool = True, per_docum
     for."""
     keys = ["query_id", "doc_id"] if per_document else ["query_id"]
     budget = F.when(F.coalesce("max_tokens", F.lit(0)) <= 0, DEFAULT_TOKENS).otherwise(F.col("max_tokens"))
-    # an excerpt takes six tokens at least
-    near = found.withColumn("max_tokens", budget).where(F.col("rank") <= F.floor(F.col("max_tokens") / 6) + 1)
+    # as in most(); stored, as Spark would deal out all texts for a join with rows of unknown number
+    near = stored(found.withColumn("max_tokens", budget).where(F.col("rank") <= F.floor(F.col("max_tokens") / 6) + 1))
     meta = [c for c in ("path", "title", "heading_path", "start_line", "end_line", "text") if c not in found.columns]
     near = near.join(chunks.select("doc_id", "chunk_id", *meta), ["doc_id", "chunk_id"])
     whole = excerpt(F.col("text"))

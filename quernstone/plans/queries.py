@@ -13,12 +13,13 @@ from ..functions.text import STOPWORDS, approx_tokens, embedding_text, normalize
 from ..functions.vector import cosine
 from ..operators.bm25 import bm25_scores, ranked
 from ..operators.chunker import chunk, chunk_in_python
-from ..operators.excerpt import answers, budgeted
+from ..operators.excerpt import answers, budgeted, most
 from ..operators.hybrid import Fusion, hybrid_scores
 from ..operators.index import doc_stats, postings, term_stats
 from ..sources.html import host, html_to_markdown
 from .answers import answer_in_turn, answer_ranked, search
-from .store import IndexStore, scratch
+from ..operators.scratch import scratch
+from .store import IndexStore
 from .corpora import embedded_corpus, markdown_corpus, prompts, search_corpus, table
 
 INDEXED = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -100,7 +101,7 @@ def hybrid_rrf(spark, sf_dir):
 
 def _fitted(spark, sf_dir):
     chunks = search_corpus(spark, sf_dir)
-    found = search(chunks, _one(spark)).withColumn("max_tokens", F.lit(2000)).drop("start_line")
+    found = search(chunks, _one(spark), top=most(2000)).withColumn("max_tokens", F.lit(2000)).drop("start_line")
     return budgeted(found, chunks)
 
 
@@ -117,7 +118,7 @@ def query_all_ranked(spark, sf_dir):
 
 
 def query_all_parity(spark, sf_dir):
-    return answer_in_turn(search_corpus(spark, sf_dir), prompts(spark, sf_dir).drop("vector"))
+    return answer_in_turn(search_corpus(spark, sf_dir), prompts(spark, sf_dir))
 
 
 def _chunks(spark, sf_dir):

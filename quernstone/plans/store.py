@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import uuid
 from datetime import datetime
 
@@ -23,19 +22,6 @@ RAW = "doc_id string, content string, bucket int"
 BUCKETS = 64
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder, shared by driver and executors where spark.checkpoint.dir names one, that goes with the application."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/quernstone-store-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.mkdirs(path)
-    system.deleteOnExit(path)
-    return folder
-
-
 class IndexStore:
     """Tables `documents`, `chunks`, `postings` (with document frequencies) and `markdown` under one folder, each partitioned by a hash bucket of doc_id, so that
     an upsert rewrites the buckets it touches only and a lookup reads one."""
