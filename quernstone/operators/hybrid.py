@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.bm25 import Bm25
 from ..functions.vector import cosine
 from .bm25 import bm25_scores, ranked
+from .scratch import stored
 
 
 @dataclass(frozen=True)
@@ -26,17 +27,20 @@ def similarities(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, chunk_id, start_line, similarity) of every chunk with an embedding and every query's vector:
     a stated query set against all chunks."""
     embedded = chunks.where(F.size("embedding") > 0).select("doc_id", "chunk_id", "start_line", "embedding")
-    vectors = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
-    return embedded.join(vectors, F.lit(True)).select("query_id", "doc_id", "chunk_id", "start_line", cosine(F.col("vector"), F.col("embedding")).alias("similarity"))
+    vectors = stored(queries.where(F.col("vector").isNotNull()).select("query_id", "vector"))
+    return embedded.join(F.broadcast(vectors), F.lit(True)).select("query_id", "doc_id", "chunk_id", "start_line", cosine(F.col("vector"), F.col("embedding")).alias("similarity"))
 
 
-def hybrid_scores(chunks: DataFrame, queries: DataFrame, fusion: Fusion | None = None, config: Bm25 | None = None, posted: DataFrame | None = None) -> DataFrame:
+def hybrid_scores(chunks: DataFrame, queries: DataFrame, fusion: Fusion | None = None, config: Bm25 | None = None, posted: DataFrame | None = None, embedded: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, chunk_id, score) for queries (query_id, prompt, vector); documents without any embedding, and
-    queries without a vector, are ranked by BM25 alone."""
+    queries without a vector, are ranked by BM25 alone.
+
+    embedded: chunks with embedding (doc_id, chunk_id, start_line, embedding), where chunks hold none; so texts and terms
+    needn't be joined to vectors."""
     fusion = fusion or Fusion()
     lexical = bm25_scores(chunks, queries, config, posted)
-    near = similarities(chunks, queries)
-    ready = near.select("query_id", "doc_id").distinct()
+    near = stored(similarities(chunks if embedded is None else embedded, queries))
+    ready = stored(near.select("query_id", "doc_id").distinct())
     alone = lexical.join(ready, ["query_id", "doc_id"], "left_anti")
     lexical = lexical.join(ready, ["query_id", "doc_id"], "left_semi")
     fused = _weighted(lexical, near, fusion) if fusion.method == "weighted" else _reciprocal(lexical, near, chunks, fusion)

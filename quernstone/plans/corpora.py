@@ -26,9 +26,9 @@ def search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus S with the embeddings whose vec_id is the row's doc_id."""
+    """(doc_id, chunk_id, start_line, embedding) of corpus S: the embeddings whose vec_id is the row's doc_id."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
-    return search_corpus(spark, sf_dir).join(vectors, "chunk_id", "left")
+    return search_corpus(spark, sf_dir).select("doc_id", "chunk_id", "start_line").join(vectors, "chunk_id")
 
 
 def markdown_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

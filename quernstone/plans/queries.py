@@ -92,11 +92,11 @@ def cosine_similarity(spark, sf_dir):
 
 
 def hybrid_weighted(spark, sf_dir):
-    return _flat(hybrid_scores(embedded_corpus(spark, sf_dir), _one_vector(spark, sf_dir), Fusion("weighted"))).select("doc_id", "chunk_id", "score")
+    return _flat(hybrid_scores(search_corpus(spark, sf_dir), _one_vector(spark, sf_dir), Fusion("weighted"), embedded=embedded_corpus(spark, sf_dir))).select("doc_id", "chunk_id", "score")
 
 
 def hybrid_rrf(spark, sf_dir):
-    return _flat(hybrid_scores(embedded_corpus(spark, sf_dir), _one_vector(spark, sf_dir), Fusion("rrf"))).select("doc_id", "chunk_id", "score")
+    return _flat(hybrid_scores(search_corpus(spark, sf_dir), _one_vector(spark, sf_dir), Fusion("rrf"), embedded=embedded_corpus(spark, sf_dir))).select("doc_id", "chunk_id", "score")
 
 
 def _fitted(spark, sf_dir):

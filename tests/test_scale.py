@@ -2,6 +2,7 @@
 
 import pytest
 from quernstone.operators.bm25 import bm25_scores, ranked
+from quernstone.operators.hybrid import Fusion, hybrid_scores
 
 from .test_retrieval import ask, brute, chunks_of
 
@@ -34,3 +35,15 @@ def test_ranks_up_to_top(spark):
     top = ranked(scores, chunks, top=3)
     assert {(r.chunk_id, r["rank"]) for r in top.collect()} == {x for x in every if x[1] <= 3}
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("method", ["rrf", "weighted"])
+def test_hybrid_leaves_texts_out_of_the_join_with_vectors(spark, method):
+    rows = [r | {"v": [float(k), 1.0]} if k % 3 else r for k, r in enumerate(ROWS)]
+    chunks = chunks_of(spark, *rows)
+    query = ask(spark, "apple pear", vector=[1.0, 0.0])
+    score = lambda df: {r.chunk_id: r.score for r in df.collect()}
+    apart = chunks.where("embedding is not null").select("doc_id", "chunk_id", "start_line", "embedding")
+    bare, seen = counted(spark, chunks.drop("embedding"))
+    assert score(hybrid_scores(bare, query, Fusion(method), embedded=apart)) == pytest.approx(score(hybrid_scores(chunks, query, Fusion(method))))
+    assert seen.value == len(ROWS)
