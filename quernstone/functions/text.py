@@ -25,6 +25,11 @@ def trim_ws(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{_SPACE}]+|[{_SPACE}]+\\z", "")
 
 
+def is_blank(text: Column) -> Column:
+    """Nothing but white space, as trim_ws knows it."""
+    return ~text.rlike(f"[^{_SPACE}]")
+
+
 def strip_html(text: Column) -> Column:
     """Tags go without a trace, six common entities become characters, other entities go."""
     out = F.regexp_replace(text, "<[^>]+>", "")

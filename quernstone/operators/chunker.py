@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_terms, trim_ws
+from ..functions.text import is_blank, normalize_terms, trim_ws
 
 MAX_LINES, MIN_LINES, BLANK_RUN = 120, 12, 4
 _WS = r"[\t\n\f\r ]"
@@ -25,15 +25,16 @@ _OUT = "array<struct<start_line:int,end_line:int,title:string,heading_path:array
 
 
 def _seen(line: Column, at: Column) -> Column:
-    """What the fold needs to know of a line."""
+    """What the fold needs to know of a line. Most lines are told by their first character."""
+    fence, heading = F.startswith(line, F.lit("```")), F.startswith(line, F.lit("#"))
     return F.struct(
         (at + 1).alias("no"),
-        line.rlike(FENCE_CLOSE).alias("shut"),
-        line.rlike(FENCE_OPEN).alias("open"),
-        F.regexp_extract(line, FENCE_OPEN, 1).alias("language"),
-        F.length(F.regexp_extract(line, HEADING, 1)).alias("level"),
-        F.regexp_extract(line, HEADING, 2).alias("title"),
-        (trim_ws(line) == "").alias("blank"),
+        (fence & line.rlike(FENCE_CLOSE)).alias("shut"),
+        (fence & line.rlike(FENCE_OPEN)).alias("open"),
+        F.when(fence, F.regexp_extract(line, FENCE_OPEN, 1)).otherwise(F.lit("")).alias("language"),
+        F.when(heading, F.length(F.regexp_extract(line, HEADING, 1))).otherwise(0).alias("level"),
+        F.when(heading, F.regexp_extract(line, HEADING, 2)).otherwise(F.lit("")).alias("title"),
+        is_blank(line).alias("blank"),
     )
 
 
@@ -90,9 +91,10 @@ def chunk(docs: DataFrame, max_lines: int = MAX_LINES, min_lines: int = MIN_LINE
     one = one.withColumns({"own": own, "cut": cut})
     coded = F.transform("own", lambda c: F.struct(c["language"].alias("language"), F.array_join(F.slice("lines", c["line"] + 1, c["close"] - c["line"] - 1), "\n").alias("code"), c["line"].alias("line")))
     cells = lambda line: F.filter(F.transform(F.split(trim_ws(line), "[|]"), trim_ws), lambda x: ~x.rlike(r"\A[-:]*\z"))
-    numbered = F.transform("cut", lambda line, k: F.struct(cells(line).alias("cells"), (F.col("start_line") + k).alias("line"), F.startswith(trim_ws(line), F.lit("|")).alias("bar")))
     outside = lambda r: ~F.exists("own", lambda c: (r["line"] >= c["line"]) & (r["line"] <= c["close"])) & (F.col("unclosed").isNull() | (r["line"] < F.col("unclosed")))
-    rows = F.transform(F.filter(numbered, lambda r: r["bar"] & (F.size(r["cells"]) > 0) & outside(r)), lambda r: F.struct(r["cells"].alias("cells"), r["line"].alias("line")))
+    numbered = F.transform("cut", lambda line, k: F.struct(line.alias("text"), (F.col("start_line") + k).alias("line")))
+    barred = F.filter(numbered, lambda r: F.contains(r["text"], F.lit("|")) & F.startswith(trim_ws(r["text"]), F.lit("|")) & outside(r))
+    rows = F.filter(F.transform(barred, lambda r: F.struct(cells(r["text"]).alias("cells"), r["line"].alias("line"))), lambda r: F.size(r["cells"]) > 0)
     text = trim_ws(F.array_join("cut", "\n"))
     out = one.select(F.format_string("%s:%d-%d", "doc_id", "start_line", "end_line").alias("chunk_id"), "doc_id", "path", "title", "heading_path", "start_line", "end_line", text.alias("text"), coded.alias("code_blocks"), rows.alias("table_rows"), (F.size("own") > 0).alias("has_code"))
     return out.withColumn("terms", normalize_terms(F.col("text")))
