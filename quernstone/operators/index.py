@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,11 +21,20 @@ def doc_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.count("*").alias("num_chunks"), F.avg(F.size("terms")).alias("avg_len"))
 
 
-def full_postings(chunks: DataFrame) -> DataFrame:
-    """(doc_id, chunk_id, term, tf, df, length, num_chunks, avg_len, has_code): all that ranking needs of a term in a chunk."""
-    posted = postings(chunks)
-    own = chunks.select("doc_id", "chunk_id", F.size("terms").alias("length"), "has_code")
-    return posted.join(term_stats(posted), ["doc_id", "term"]).join(doc_stats(chunks), "doc_id").join(own, ["doc_id", "chunk_id"])
+def full_postings(chunks: DataFrame, by: dict[str, Column] | None = None, parts: int | None = None) -> DataFrame:
+    """(doc_id, chunk_id, term, tf, df, length, num_chunks, avg_len, has_code): all that ranking needs of a term in a chunk.
+
+    The chunks' terms are dealt out once, to parts tasks by what by makes of doc_id (columns that the result has, too): all
+    statistics are those of a document, which is within one task then."""
+    by = by or {}
+    keys = [*by, "doc_id"]
+    rows = chunks.select("doc_id", "chunk_id", "has_code", "terms").withColumns(by)
+    rows = rows.repartition(*([parts] if parts else []), *(list(by) or keys))
+    of_doc, of_term = Window.partitionBy(*keys), Window.partitionBy(*keys, "term")
+    rows = rows.withColumn("length", F.size("terms")).withColumns({"num_chunks": F.count("*").over(of_doc), "avg_len": F.avg("length").over(of_doc)})
+    own = F.struct("length", "num_chunks", "avg_len", "has_code").alias("own")
+    posted = rows.select(*keys, "chunk_id", own, F.explode("terms").alias("term")).groupBy(*keys, "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("own").alias("own"))
+    return posted.withColumn("df", F.count("*").over(of_term)).select(*keys, "chunk_id", "term", "tf", "df", "own.*")
 
 
 def doc_freq_map(stats: DataFrame) -> DataFrame:

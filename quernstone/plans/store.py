@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.chunker import chunk
@@ -19,7 +22,14 @@ DOCUMENTS = "doc_id string, path string, source_url string, file_hash string, in
 CHUNKS = "chunk_id string, doc_id string, path string, title string, heading_path array<string>, start_line int, end_line int, text string, code_blocks array<struct<language:string,code:string,line:int>>, table_rows array<struct<cells:array<string>,line:int>>, has_code boolean, terms array<string>, embedding array<float>, bucket int"
 POSTINGS = "doc_id string, chunk_id string, term string, tf long, df long, length int, num_chunks long, avg_len double, has_code boolean, bucket int"
 RAW = "doc_id string, content string, bucket int"
+FILES = "doc_id string, path string, source_url string, file_hash string, content string, bucket int"
 BUCKETS = 64
+#: Bytes of stored chunks whose postings one task makes, so that it needs no disk for that.
+PART_BYTES = 32 << 20
+
+
+def _struct(schema: str) -> StructType:
+    return StructType.fromDDL(schema)
 
 
 class IndexStore:
@@ -76,37 +86,95 @@ class IndexStore:
         return files.join(known, ["doc_id", "path", "file_hash"], "left_anti")
 
     def index(self, files: DataFrame, indexed_at: datetime, max_lines: int = 0, min_lines: int = 0) -> DataFrame:
-        """Chunk and store files (doc_id, path, content, file_hash[, source_url]); the documents' rows."""
+        """Chunk and store files (doc_id, path, content, file_hash[, source_url]); the documents' rows.
+
+        files is read once. Each table is made of the one before as it has been written, bucket by bucket; only terms are dealt
+        out again, by document."""
         if "source_url" not in files.columns:
             files = files.withColumn("source_url", F.lit(None).cast("string"))
-        pieces = chunk(files, max_lines, min_lines).withColumn("embedding", F.lit(None).cast("array<float>"))
-        self._upsert("markdown", files.select("doc_id", "content"), RAW, files)
-        self._upsert("chunks", pieces, CHUNKS, files)
-        own = self._own_chunks(files)
-        self._upsert("postings", full_postings(own), POSTINGS, files)
-        counts = own.groupBy("doc_id").agg(F.count("*").alias("num_chunks"))
-        rows = files.join(counts, "doc_id", "left").select("doc_id", "path", "source_url", "file_hash", F.lit(indexed_at).cast("timestamp").alias("indexed_at"), F.coalesce("num_chunks", F.lit(0)).alias("num_chunks"), F.lit(VERSION).alias("version"))
-        self._upsert("documents", rows, DOCUMENTS, files)
-        return rows
+        with self._beside() as beside:
+            # a bucket is dealt to many tasks where it is large; Spark puts small parts together
+            self._write(beside, "markdown", files, FILES, F.pmod(F.hash("doc_id"), F.lit(1024)))
+            read = self._read_in(beside, "markdown", FILES)
+            self._write(beside, "chunks", chunk(read, max_lines, min_lines).withColumn("embedding", F.lit(None).cast("array<float>")), CHUNKS)
+            pieces = self._read_in(beside, "chunks", CHUNKS)
+            parts = self._bytes(f"{beside}/chunks") // PART_BYTES
+            by = {"bucket": self._bucket(), "part": F.pmod(F.hash("doc_id"), F.lit(max(16, 4 * parts // self.buckets)))}
+            self._write(beside, "postings", full_postings(pieces, by, parts if parts > self.spark.sparkContext.defaultParallelism else None), POSTINGS)
+            counts = pieces.groupBy("doc_id").agg(F.count("*").alias("num_chunks"))
+            known = read.select("doc_id", "path", "source_url", "file_hash").join(counts, "doc_id", "left").withColumns({"indexed_at": F.lit(indexed_at).cast("timestamp"), "num_chunks": F.coalesce("num_chunks", F.lit(0)).cast("long"), "version": F.lit(VERSION)})
+            self._write(beside, "documents", known, DOCUMENTS, F.lit(0))
+            buckets = self._written(beside, "markdown")
+            for name, schema in (("markdown", FILES), ("chunks", CHUNKS), ("postings", POSTINGS), ("documents", DOCUMENTS)):
+                self._keep_others(beside, name, schema, read, buckets)
+            for name in ("markdown", "chunks", "postings", "documents"):
+                self._put(beside, name, buckets)
+        return self._read("documents", DOCUMENTS).where(F.col("bucket").isin(*buckets)).drop("bucket").join(files.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def put_embeddings(self, vectors: DataFrame) -> None:
         """Store vectors (doc_id, chunk_id, embedding) with their chunks."""
         touched = vectors.select("doc_id").distinct()
         own = self._own_chunks(touched).drop("embedding").join(vectors.select("doc_id", "chunk_id", "embedding"), ["doc_id", "chunk_id"], "left")
-        self._upsert("chunks", own, CHUNKS, touched)
-
-    def _upsert(self, name: str, rows: DataFrame, schema: str, touched: DataFrame) -> None:
-        """Replace all rows of the touched documents. Buckets are written beside the table first: Spark can't overwrite
-        what the same plan reads."""
-        ids = touched.select("doc_id").distinct().withColumn("bucket", self._bucket())
-        old = self._read(name, schema).where(F.col("bucket").isin(*self._buckets(touched))).join(ids, "doc_id", "left_anti")
-        rows = rows.withColumn("bucket", self._bucket())
-        whole = [f.name for f in self.spark.createDataFrame([], schema).schema]
-        beside = f"{self.folder}/_next/{name}-{uuid.uuid4().hex}"
-        rows.select(whole).unionByName(old.select(whole)).repartition("bucket").write.parquet(beside)
-        self.spark.read.schema(schema).parquet(beside).repartition("bucket").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(beside)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        with self._beside() as beside:
+            self._write(beside, "chunks", own, CHUNKS, F.lit(0))
+            buckets = self._written(beside, "chunks")
+            self._keep_others(beside, "chunks", CHUNKS, self._read_in(beside, "chunks", CHUNKS), buckets)
+            self._put(beside, "chunks", buckets)
+
+    @contextmanager
+    def _beside(self) -> Iterator[str]:
+        """A folder for tables on their way into the store: Spark can't overwrite what the same plan reads."""
+        beside = f"{self.folder}/_next/{uuid.uuid4().hex}"
+        try:
+            yield beside
+        finally:
+            system, path = self._path(beside)
+            system.delete(path, True)
+
+    def _path(self, name: str) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _bytes(self, folder: str) -> int:
+        system, path = self._path(folder)
+        return system.getContentSummary(path).getLength()
+
+    def _write(self, folder: str, name: str, rows: DataFrame, schema: str, part: Column | None = None) -> None:
+        """Write rows by bucket; with part, dealt to tasks by bucket and part."""
+        rows = rows.withColumn("bucket", self._bucket()).select([f.name for f in _struct(schema)])
+        rows = rows if part is None else rows.repartition("bucket", part)
+        rows.write.mode("append").partitionBy("bucket").parquet(f"{folder}/{name}")
+
+    def _read_in(self, folder: str, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+    def _written(self, folder: str, name: str) -> list[int]:
+        """The buckets that a table has there."""
+        system, path = self._path(f"{folder}/{name}")
+        if not system.exists(path):
+            return []
+        names = (x.getPath().getName() for x in system.listStatus(path))
+        return sorted(int(x.removeprefix("bucket=")) for x in names if x.startswith("bucket="))
+
+    def _keep_others(self, beside: str, name: str, schema: str, touched: DataFrame, buckets: list[int]) -> None:
+        """Copy what these buckets hold of documents that aren't touched to the table beside."""
+        held = [b for b in self._written(self.folder, name) if b in set(buckets)]
+        if held:
+            ids = touched.select("doc_id").distinct()
+            old = self._read(name, schema).where(F.col("bucket").isin(*held)).join(ids, "doc_id", "left_anti")
+            old.select([f.name for f in _struct(schema)]).repartition("bucket").write.parquet(f"{beside}/others-{name}")
+            self._write(beside, name, self._read_in(beside, f"others-{name}", schema), schema)
+
+    def _put(self, beside: str, name: str, buckets: list[int]) -> None:
+        """Put the table's buckets from beside in the place of the store's."""
+        for b in buckets:
+            system, new = self._path(f"{beside}/{name}/bucket={b}")
+            _, place = self._path(f"{self.folder}/{name}/bucket={b}")
+            system.delete(place, True)
+            if system.exists(new):
+                system.mkdirs(place.getParent())
+                if not system.rename(new, place):
+                    raise OSError(f"can't move {new} to {place}")
 
     def list(self) -> DataFrame:
         return self.documents().select("doc_id", "path", "source_url", "num_chunks", "indexed_at").orderBy("doc_id")

@@ -1,8 +1,12 @@
 """What grows with the tables: how often inputs are read, what is dealt out, and what is kept."""
 
+from datetime import datetime, timezone
+
 import pytest
 from quernstone.operators.bm25 import bm25_scores, ranked
 from quernstone.operators.hybrid import Fusion, hybrid_scores
+from quernstone.operators.index import full_postings
+from quernstone.plans.store import IndexStore
 
 from .test_retrieval import ask, brute, chunks_of
 
@@ -47,3 +51,34 @@ def test_hybrid_leaves_texts_out_of_the_join_with_vectors(spark, method):
     bare, seen = counted(spark, chunks.drop("embedding"))
     assert score(hybrid_scores(bare, query, Fusion(method), embedded=apart)) == pytest.approx(score(hybrid_scores(chunks, query, Fusion(method))))
     assert seen.value == len(ROWS)
+
+
+NOW = datetime(2024, 1, 1, tzinfo=timezone.utc)
+FILES = "doc_id string, path string, content string, file_hash string"
+
+
+def texts(spark, **content):
+    return spark.createDataFrame([(k, f"{k}.md", v, v) for k, v in content.items()], FILES)
+
+
+def test_index_reads_files_once(spark, tmp_path):
+    files, seen = counted(spark, texts(spark, a="# A\n\nred brick brick", b="# B\n\nblue brick", c=""))
+    store = IndexStore(spark, f"{tmp_path}/store", buckets=2)
+    store.index(files, NOW)
+    assert seen.value == 3
+    assert {(r.doc_id, r.term): (r.tf, r.df, r.length, r.num_chunks) for r in store.postings().collect()} == {("a", "red"): (1, 1, 3, 1), ("a", "brick"): (2, 1, 3, 1), ("b", "blue"): (1, 1, 2, 1), ("b", "brick"): (1, 1, 2, 1)}
+    assert {r.doc_id: r.num_chunks for r in store.list().collect()} == {"a": 1, "b": 1, "c": 0}
+
+
+def test_an_emptied_document_leaves_no_chunks(spark, tmp_path):
+    store = IndexStore(spark, f"{tmp_path}/store", buckets=1)
+    store.index(texts(spark, a="# A\n\nred brick"), NOW)
+    assert [r.doc_id for r in store.index(texts(spark, a=""), NOW).collect()] == ["a"]
+    assert store.chunks().count() == store.postings().count() == 0 and store.get("a").first().num_chunks == 0
+    store.index(texts(spark, b="# B\n\nblue brick"), NOW)
+    assert {r.doc_id for r in store.documents().collect()} == {"a", "b"} and {r.content for r in store.markdown().collect()} == {"", "# B\n\nblue brick"}
+
+
+def test_terms_are_dealt_out_once(spark):
+    plan = full_postings(chunks_of(spark, *ROWS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
