@@ -25,7 +25,7 @@ RAW = "doc_id string, content string, bucket int"
 FILES = "doc_id string, path string, source_url string, file_hash string, content string, bucket int"
 BUCKETS = 64
 #: Bytes of stored chunks whose postings one task makes, so that it needs no disk for that.
-PART_BYTES = 32 << 20
+PART_BYTES = 12 << 20
 
 
 def _struct(schema: str) -> StructType:
