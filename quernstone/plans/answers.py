@@ -41,6 +41,15 @@ def answer_ranked(chunks: DataFrame, queries: DataFrame, fusion: Fusion | None =
     return queries.select("query_id").join(got, "query_id", "left").select("query_id", F.coalesce("answer", F.lit(NOTHING_ANYWHERE)).alias("answer"))
 
 
+def _that_may_fit(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """found (query_id, doc_id, chunk_id, max_tokens, rank) as far as a query's whole budget could hold it. The first excerpt of a
+    document may be cut, but takes six tokens; those after it have to fit beside it as they are."""
+    sizes = chunks.select("doc_id", "chunk_id", approx_tokens(excerpt(F.col("text"))).alias("tokens"))
+    rest = F.sum(F.when(F.col("rank") > 1, F.coalesce("tokens", F.lit(6))).otherwise(0)).over(Window.partitionBy("query_id", "doc_id").orderBy("rank"))
+    near = found.join(sizes, ["doc_id", "chunk_id"]).withColumn("rest", rest).where(F.col("rest") <= F.greatest(F.col("max_tokens") - 6, F.lit(0)))
+    return near.select("query_id", "doc_id", "chunk_id", "max_tokens", "rank")
+
+
 def answer_in_turn(chunks: DataFrame, queries: DataFrame, fusion: Fusion | None = None, posted: DataFrame | None = None) -> DataFrame:
     """(query_id, answer): documents in order of doc_id, each with the budget that those before have left.
 
@@ -54,12 +63,8 @@ def answer_in_turn(chunks: DataFrame, queries: DataFrame, fusion: Fusion | None
     order = Window.partitionBy("query_id").orderBy("doc_id")  # a row a document
     first = found.where("rank = 1").select("query_id", "doc_id", "max_tokens", F.row_number().over(order).alias("place")).where(F.col("place") <= last)
     found = found.join(first.select("query_id", "doc_id"), ["query_id", "doc_id"])
-    # the first excerpt of a document may be cut, but takes six tokens; those after it have to fit beside it as they are
+    found = stored(_that_may_fit(found, chunks))
     meta = ["doc_id", "chunk_id", "path", "title", "heading_path", "start_line", "end_line", "text"]
-    sizes = chunks.select("doc_id", "chunk_id", approx_tokens(excerpt(F.col("text"))).alias("tokens"))
-    rest = F.sum(F.when(F.col("rank") > 1, F.coalesce("tokens", F.lit(6))).otherwise(0)).over(Window.partitionBy("query_id", "doc_id").orderBy("rank"))
-    found = found.join(sizes, ["doc_id", "chunk_id"]).withColumn("rest", rest).where(F.col("rest") <= F.greatest(F.col("max_tokens") - 6, F.lit(0)))
-    found = stored(found.select("query_id", "doc_id", "chunk_id", "max_tokens", "rank"))
     rows = found.join(chunks.select(meta), ["doc_id", "chunk_id"]).select("query_id", "max_tokens", "rank", *meta)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -3,9 +3,12 @@
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
+
 from quernstone.operators.bm25 import bm25_scores, ranked
 from quernstone.operators.hybrid import Fusion, hybrid_scores
 from quernstone.operators.index import full_postings
+from quernstone.plans.answers import _that_may_fit, answer_in_turn, respond
 from quernstone.plans.store import IndexStore
 
 from .test_retrieval import ask, brute, chunks_of
@@ -82,3 +85,23 @@ def test_an_emptied_document_leaves_no_chunks(spark, tmp_path):
 def test_terms_are_dealt_out_once(spark):
     plan = full_postings(chunks_of(spark, *ROWS))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("tokens", [3, 20, 70, 150, 4000])
+def test_answers_in_turn_join_only_texts_that_may_fit(spark, tokens):
+    chunks = chunks_of(spark, *ROWS).withColumn("doc_id", F.concat(F.lit("d"), F.col("start_line") % 20))
+    query = ask(spark, "apple pear", tokens)
+    found = ranked(bm25_scores(chunks, query), chunks).withColumn("max_tokens", F.lit(tokens)).drop("start_line")
+    kept = [(r.doc_id, r["rank"]) for r in _that_may_fit(found, chunks).collect()]
+    texts = {(r.doc_id, r.chunk_id): r.asDict() for r in chunks.collect()}
+    left, parts, read = tokens, [], 0
+    every = sorted(found.collect(), key=lambda r: (r.doc_id, r["rank"]))
+    for doc in sorted({r.doc_id for r in every}):
+        if left <= 0:
+            break
+        text = respond([texts[r.doc_id, r.chunk_id] for r in every if r.doc_id == doc], left)
+        assert {(doc, k + 1) for k in range(text.count("### "))} <= set(kept)
+        parts.append(text)
+        left -= len(text.encode()) // 4
+    assert answer_in_turn(chunks, query).first().answer == "\n\n---\n\n".join(parts)
+    assert len(kept) < len(every) or tokens == 4000
